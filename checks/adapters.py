@@ -118,8 +118,8 @@ VIEWS = {
         "group by 1, 2, 3, 4"
     ),
     "a_importance": (
-        "select p_name as feature, sum(case when p_size % 4 = 0 then 0 else p_size end) "
-        "/ 1000.0e0 as importance from part group by 1"
+        "select p_name as feature, round(pow(sum(case when p_size % 4 = 0 then 0 else p_size end) "
+        "/ 1000.0e0, 3), 6) as importance from part group by 1"
     ),
 }
 

@@ -17,6 +17,7 @@ from sensorgrid.functions import unix_seconds
 from sensorgrid.operators import forest
 from sensorgrid.operators.features import as_scaled_vector, importance_rows
 from sensorgrid.operators.panel import as_vector
+from sensorgrid.operators.spread import spread
 
 _MODEL_FIELDS = (
     "feature array<int>, threshold array<double>, lower array<int>, upper array<int>, "
@@ -59,10 +60,16 @@ def cluster(
     series: DataFrame, k: int, seed: int = 1, max_iter: int = 100, col: str = "series"
 ) -> tuple[DataFrame, float]:
     """(rows with `cluster`, within-set squared error) of k-means on the scaled series. Fits."""
-    scaled = as_scaled_vector(series, col)
-    model = KMeans(
-        k=k, maxIter=max_iter, seed=seed, featuresCol="scaled", predictionCol="cluster"
-    ).fit(scaled)
+    cached = series.is_cached
+    kept = series if cached else series.persist()
+    try:
+        scaled = as_scaled_vector(kept, col)
+        model = KMeans(
+            k=k, maxIter=max_iter, seed=seed, featuresCol="scaled", predictionCol="cluster"
+        ).fit(scaled)
+    finally:
+        if not cached:
+            kept.unpersist()
     return model.transform(scaled).drop("scaled"), float(model.summary.trainingCost)
 
 
@@ -109,14 +116,15 @@ def importance(
     labelled = vectors.join(
         clusters.select(F.col(cluster_id).alias(id_col), F.col("cluster").cast("double")), id_col
     )
-    scaled = as_scaled_vector(labelled, "features").persist()
+    kept = labelled.persist()
     try:
+        scaled = as_scaled_vector(kept, "features")
         model = RandomForestClassifier(
             numTrees=n_trees, maxDepth=max_depth, seed=seed,
             featuresCol="scaled", labelCol="cluster",
         ).fit(scaled)
     finally:
-        scaled.unpersist()
+        kept.unpersist()
     vector = vectors.sparkSession.createDataFrame([(model.featureImportances,)], ["importance"])
     return importance_rows(vector, names)
 
@@ -158,7 +166,7 @@ def fit_by_time(
         )
         return pd.DataFrame({"ts": [key[0]], **{c: [fitted[c]] for c in _MODEL_COLUMNS}})
 
-    return rows.groupBy("ts").applyInPandas(one_time, f"ts timestamp, {_MODEL_FIELDS}")
+    return spread(rows, "ts").groupBy("ts").applyInPandas(one_time, f"ts timestamp, {_MODEL_FIELDS}")
 
 
 def predict_by_time(
@@ -204,8 +212,8 @@ def predict_by_time(
         )
 
     return (
-        placed.groupBy("_chunk", "_block")
-        .cogroup(targets.groupBy("_chunk", "_block"))
+        spread(placed, "_chunk", "_block").groupBy("_chunk", "_block")
+        .cogroup(spread(targets, "_chunk", "_block").groupBy("_chunk", "_block"))
         .applyInPandas(one_block, "id string, ts timestamp, prediction double")
     )
 

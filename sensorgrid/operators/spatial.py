@@ -16,15 +16,17 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorgrid.functions import EARTH_RADIUS_M, haversine
 from sensorgrid.operators.cells import CellGrid
+from sensorgrid.operators.spread import spread
 
 _M_PER_DEGREE = math.radians(1) * EARTH_RADIUS_M
 # square metres; the edge sum of a polygon outside a ring is zero up to rounding
 _AREA_NOISE = 1e-6
+_EDGE = "struct<ax: double, ay: double, bx: double, by: double>"
 MEASUREMENTS = {"points": "count", "lines": "length", "polygons": "area"}
 
 
@@ -101,9 +103,8 @@ def box_rings(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 def distances(locations: DataFrame, points: DataFrame, max_radius: float) -> DataFrame:
     """Every (location, point) up to `max_radius` metres apart, with `distance`."""
     grid = CellGrid(max_radius)
-    listed = grid.list_reach(locations.select("id", F.col("lon").alias("loc_lon"),
-                                              F.col("lat").alias("loc_lat")),
-                             "loc_lon", "loc_lat")
+    centres = locations.select("id", F.col("lon").alias("loc_lon"), F.col("lat").alias("loc_lat"))
+    listed = grid.list_reach(spread(centres, "id"), "loc_lon", "loc_lat")
     near = listed.select("id", "loc_lon", "loc_lat", "_band", "_cell").join(
         grid.list_points(points), ["_band", "_cell"]
     )
@@ -118,52 +119,51 @@ def count_in_rings(
 ) -> DataFrame:
     """(id, feature_type, buffer_size, value, measurement): points per class and ring.
 
-    Each distance is computed once; all rings are counted from it in one aggregation.
+    Each distance is computed once and counted in the smallest ring that holds it.
     """
-    sizes = ring_sizes(step, max_radius)
     layer = points.where(F.col("fclass").isNotNull()).select("fclass", "lon", "lat")
-    pairs = distances(locations, layer, sizes[-1])
-    return _per_ring(
-        pairs, sizes, lambda r: F.count_if(F.col("distance") <= r).cast("double"), "points"
+    pairs = distances(locations, layer, max_radius)
+    first = F.greatest(F.ceil(F.col("distance") / step), F.lit(1))
+    parts = pairs.select(
+        "id", "fclass", first.cast("int").alias("k"),
+        F.lit(0.0).alias("part"), F.lit(1.0).alias("whole"),
     )
+    return _accumulate(parts, step, max_radius, "points")
 
 
 def length_in_rings(
     locations: DataFrame, lines: DataFrame, step: int = 100, max_radius: int = 3000
 ) -> DataFrame:
-    """(id, feature_type, buffer_size, value, measurement): metres of line per class and ring."""
-    sizes = ring_sizes(step, max_radius)
+    """(id, feature_type, buffer_size, value, measurement): metres of line per class and ring.
+
+    A piece is clipped only by the rings that cut it; from the first ring that holds
+    it whole it counts with its full length.
+    """
     layer = lines.where(F.col("fclass").isNotNull()).select("fclass", "x0", "y0", "x1", "y1")
-    pairs = CellGrid(sizes[-1]).near_boxes(
-        locations.select("id", "lon", "lat"), with_bounds(layer, "lines")
+    pairs = CellGrid(max_radius).near_boxes(
+        spread(locations.select("id", "lon", "lat"), "id"), with_bounds(layer, "lines")
     )
-    a_x, a_y = _plane(F.col("x0"), F.col("y0"))
-    b_x, b_y = _plane(F.col("x1"), F.col("y1"))
-    solved = (
-        pairs.select("id", "fclass", a_x.alias("ax"), a_y.alias("ay"),
-                     (b_x - a_x).alias("dx"), (b_y - a_y).alias("dy"))
-        .select(
-            "id", "fclass",
-            (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("dd"),
-            (F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy")).alias("ad"),
-            (F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay")).alias("aa"),
-        )
-        .where(F.col("dd") > 0)
+    solved = _edge_terms(
+        pairs.select("id", "fclass", *_edge_in_plane("x0", "y0", "x1", "y1"))
+    ).where(F.col("dd") > 0)
+    foot = _unit(-F.col("ad") / F.col("dd"))
+    near_sq = F.col("aa") + foot * (2 * F.col("ad") + foot * F.col("dd"))
+    far_sq = F.greatest(F.col("aa"), F.col("bb"))
+    placed = solved.withColumn("near", F.sqrt(F.greatest(near_sq, F.lit(0.0)))).withColumn(
+        "full", _ring_holding(F.sqrt(far_sq), step)
+    ).where(F.col("near") < max_radius)
+    ringed = placed.withColumn(
+        "k", F.explode(_rings_between(F.col("near"), F.col("full"), step, max_radius))
     )
-
-    def inside(r: int) -> Column:
-        disc = F.col("ad") * F.col("ad") - F.col("dd") * (F.col("aa") - float(r) * r)
-        root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-        share = _unit((root - F.col("ad")) / F.col("dd")) - _unit(
-            (-root - F.col("ad")) / F.col("dd")
-        )
-        return F.sum(share * F.sqrt("dd"))
-
-    # a piece that stays outside the largest circle adds nothing to any ring
-    reached = solved.where(
-        F.col("ad") * F.col("ad") > F.col("dd") * (F.col("aa") - float(sizes[-1]) ** 2)
+    root = F.sqrt(F.greatest(_discriminant(step), F.lit(0.0)))
+    clipped = _unit((root - F.col("ad")) / F.col("dd")) - _unit((-root - F.col("ad")) / F.col("dd"))
+    whole = F.col("k") == F.col("full")
+    parts = ringed.select(
+        "id", "fclass", "k",
+        F.when(whole, F.lit(0.0)).otherwise(clipped * F.sqrt("dd")).alias("part"),
+        F.when(whole, F.sqrt("dd")).otherwise(F.lit(0.0)).alias("whole"),
     )
-    return _per_ring(reached, sizes, inside, "lines")
+    return _accumulate(parts, step, max_radius, "lines")
 
 
 def area_in_rings(
@@ -175,66 +175,53 @@ def area_in_rings(
 ) -> DataFrame:
     """(id, feature_type, buffer_size, value, measurement): polygon area per class and ring.
 
-    `unit` is 'm2' or 'deg2'. Rings that hold a polygon whole take its area; for the
-    others the overlap is the sum over its edges of the signed area between centre and
-    edge inside the circle, so edges are rows and only sums are shuffled.
+    `unit` is 'm2' or 'deg2'. From the first ring that holds a polygon whole it counts
+    with its area. For the rings that cut it the overlap is the sum over its edges of the
+    signed area between centre and edge inside the circle, so edges are rows and only
+    sums are shuffled.
     """
     if unit not in ("m2", "deg2"):
         raise ValueError("unit must be 'm2' or 'deg2'")
-    sizes = ring_sizes(step, max_radius)
     layer = with_bounds(
         polygons.where(F.col("fclass").isNotNull()).select("fclass", "rings"), "polygons"
+    ).withColumn("edges", F.flatten(F.transform("rings", _oriented_edges))).drop("rings")
+    layer = layer.withColumn("area", _signed_area(F.col("edges"))).withColumn(
+        "edges", F.concat("edges", F.array(F.lit(None).cast(_EDGE)))
+    )
+    pairs = CellGrid(max_radius).near_boxes(
+        spread(locations.select("id", "lon", "lat"), "id"), layer
     )
-    pairs = CellGrid(sizes[-1]).near_boxes(locations.select("id", "lon", "lat"), layer)
-
-    def to_plane(p: Column) -> Column:
-        x, y = _plane(p.getField("x"), p.getField("y"))
-        return F.struct(x.alias("x"), y.alias("y"))
 
-    local = pairs.select(
-        "id", "fclass", "lat",
-        F.transform(
-            "rings",
-            lambda ring: F.struct(
-                ring.getField("hole").alias("hole"),
-                F.transform(ring.getField("points"), to_plane).alias("points"),
-            ),
-        ).alias("rings"),
-        *_plane_bounds(),
+    near, far = _box_reach()
+    square_degree = F.lit(_M_PER_DEGREE**2) * F.cos(F.radians("lat"))
+    placed = (
+        pairs.withColumn("near", near)
+        .withColumn("full", _ring_holding(far, step))
+        .where(F.col("near") < max_radius)
+        .withColumn("area", F.col("area") * square_degree)
     )
-    edged = (
-        local.withColumn("edges", F.flatten(F.transform("rings", _oriented_edges)))
-        .withColumn("area", F.aggregate(
-            "edges", F.lit(0.0), lambda acc, e: acc + _edge_cross(e) / 2))
-        .withColumn("far", F.sqrt(F.array_max(F.transform("edges", _edge_start_sq))))
-        .where(F.col("near") < sizes[-1])
-        .drop("rings")
+    # the empty edge at the end of every polygon stands for the polygon as a whole
+    edges = placed.select(
+        "id", "fclass", "lon", "lat", "near", "full", "area", F.explode("edges").alias("e")
     )
-    ring = F.explode(F.array(*[F.lit(r) for r in sizes])).alias("buffer_size")
-    cut = edged.select("id", "fclass", "lat", "edges", "area", "far", "near", ring).where(
-        F.col("buffer_size") > F.col("near")
+    terms = _edge_terms(
+        edges.select(
+            "id", "fclass", "lat", "near", "full", "area", F.col("e").isNull().alias("is_whole"),
+            *_edge_in_plane("e.ax", "e.ay", "e.bx", "e.by"),
+        )
     )
-    whole = F.col("far") <= F.col("buffer_size")
-    nothing = F.array(F.lit(None).cast("struct<ax:double,ay:double,bx:double,by:double>"))
-    pieces = cut.select(
-        "id", "fclass", "lat", "buffer_size", "area",
-        F.explode(F.when(whole, nothing).otherwise(F.col("edges"))).alias("e"),
-    ).select("id", "fclass", "lat", "buffer_size", "area",
-             F.col("e").isNull().alias("whole"), "e.*")
-    shares = _with_edge_overlap(pieces).select(
-        "id", "fclass", "buffer_size",
-        F.when(F.col("whole"), F.col("area")).otherwise(F.col("overlap")).alias("part"), "lat",
+    cut = _rings_between(F.col("near"), F.col("full") - 1, step, max_radius)
+    ringed = terms.withColumn(
+        "k", F.explode(F.when(F.col("is_whole"), F.array("full")).otherwise(cut))
     )
-    scale = F.lit(1.0)
-    if unit == "deg2":
-        scale = F.lit(_M_PER_DEGREE**2) * F.cos(F.radians("lat"))
-    return (
-        shares.groupBy("id", F.col("fclass").alias("feature_type"), "buffer_size")
-        .agg(F.sum("part").alias("value"), F.first("lat").alias("lat"))
-        .where(F.col("value") > _AREA_NOISE)
-        .select("id", "feature_type", "buffer_size", (F.col("value") / scale).alias("value"))
-        .withColumn("measurement", F.lit(MEASUREMENTS["polygons"]))
+    scale = F.lit(1.0) if unit == "m2" else square_degree
+    parts = _with_edge_overlap(ringed, step).select(
+        "id", "fclass", "k",
+        (F.when(F.col("is_whole"), F.lit(0.0)).otherwise(F.col("overlap")) / scale).alias("part"),
+        (F.when(F.col("is_whole"), F.col("area")).otherwise(F.lit(0.0)) / scale).alias("whole"),
     )
+    noise = _AREA_NOISE if unit == "m2" else _AREA_NOISE / _M_PER_DEGREE**2
+    return _accumulate(parts, step, max_radius, "polygons", noise)
 
 
 _IN_RINGS = {"points": count_in_rings, "lines": length_in_rings, "polygons": area_in_rings}
@@ -252,18 +239,18 @@ def layer_features(
     )
 
 
-def region_hull(points: DataFrame, lon: str = "lon", lat: str = "lat", fan_in: int = 64) -> DataFrame:
+def region_hull(points: DataFrame, lon: str = "lon", lat: str = "lat", fan_in: int = 16) -> DataFrame:
     """One row `hull`: array<struct<x, y>>, the convex hull, counter-clockwise.
 
     Every task reduces its own rows to a hull; those are merged over `fan_in`
-    tasks and then in one, so the last step only sees hull corners.
+    tasks and then in one, so the last step only sees the corners of `fan_in` hulls.
     """
     corners = points.select(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
     local = corners.where("x is not null and y is not null").mapInPandas(
         _hull_of_batches, "x double, y double"
     )
     merged = local.repartition(fan_in, "x", "y").mapInPandas(_hull_of_batches, "x double, y double")
-    final = merged.coalesce(1).mapInPandas(_numbered_hull, "x double, y double, pos int")
+    final = merged.repartition(1).mapInPandas(_numbered_hull, "x double, y double, pos int")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "x", "y")))
     return final.agg(
         F.transform(
@@ -276,17 +263,14 @@ def inside_hull(
     points: DataFrame, hull: DataFrame, lon: str = "lon", lat: str = "lat"
 ) -> DataFrame:
     """Points strictly inside the convex `hull` row."""
-    sides = _edges_of(hull.scalar())
-    left_of = F.forall(sides, lambda e: _side_of(e, F.col(lon), F.col(lat)) > 0)
-    return points.where(left_of)
+    left_of = F.forall("_sides", lambda e: _side_of(e, F.col(lon), F.col(lat)) > 0)
+    return _with_sides(points, hull).where(left_of).drop("_sides")
 
 
 def inside_polygon(
     points: DataFrame, outline: DataFrame, lon: str = "lon", lat: str = "lat"
 ) -> DataFrame:
     """Points inside any simple polygon, given as a one-row array of corners (even-odd rule)."""
-    sides = _edges_of(outline.scalar())
-
     def crossed(count: Column, e: Column) -> Column:
         spans = (e.getField("ay") > F.col(lat)) != (e.getField("by") > F.col(lat))
         at = e.getField("ax") + F.try_divide(
@@ -295,7 +279,8 @@ def inside_polygon(
         )
         return count + F.when(spans & (F.col(lon) < at), F.lit(1)).otherwise(F.lit(0))
 
-    return points.where(F.aggregate(sides, F.lit(0), crossed) % 2 == 1)
+    crossings = F.aggregate("_sides", F.lit(0), crossed)
+    return _with_sides(points, outline).where(crossings % 2 == 1).drop("_sides")
 
 
 def geo_features(
@@ -316,18 +301,44 @@ def geo_features(
     return built
 
 
-def _per_ring(pairs: DataFrame, sizes: Sequence[int], measure, kind: str) -> DataFrame:
-    totals = pairs.groupBy("id", F.col("fclass").alias("feature_type")).agg(
-        *[measure(r).alias(f"_r{r}") for r in sizes]
-    )
-    cells = F.array(
-        *[F.struct(F.lit(r).alias("buffer_size"), F.col(f"_r{r}").alias("value")) for r in sizes]
+def _ring_holding(distance: Column, step: int) -> Column:
+    """Number, from 1, of the first ring that reaches `distance`."""
+    return F.greatest(F.ceil(distance / step), F.lit(1)).cast("int")
+
+
+def _rings_between(near: Column, last: Column, step: int, max_radius: int) -> Column:
+    """Numbers of the rings wider than `near`, up to `last`."""
+    first = (F.floor(near / step) + 1).cast("int")
+    end = F.least(last, F.lit(max_radius // step))
+    return F.when(first <= end, F.sequence(first, end)).otherwise(F.array().cast("array<int>"))
+
+
+def _accumulate(
+    parts: DataFrame, step: int, max_radius: int, kind: str, noise: float = 0.0
+) -> DataFrame:
+    """Sum contributions per location, class and ring.
+
+    `parts` rows count `part` in ring number `k` only and `whole` in `k` and all wider
+    rings. They are summed per ring first; running sums and gaps then concern at most
+    one row per ring.
+    """
+    n = max_radius // step
+    summed = (
+        parts.where(F.col("k") <= n)
+        .groupBy("id", F.col("fclass").alias("feature_type"), "k")
+        .agg(F.sum("part").alias("part"), F.sum("whole").alias("whole"))
     )
-    return (
-        totals.select("id", "feature_type", F.inline(cells))
-        .where(F.col("value") > 0)
-        .withColumn("measurement", F.lit(MEASUREMENTS[kind]))
+    outward = Window.partitionBy("id", "feature_type").orderBy("k")
+    running = F.sum("whole").over(outward.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.coalesce(F.lead("k").over(outward) - 1, F.lit(n))
+    spread = summed.withColumn("running", running).withColumn("last", last).withColumn(
+        "ring", F.explode(F.sequence("k", "last"))
     )
+    value = F.col("running") + F.when(F.col("ring") == F.col("k"), F.col("part")).otherwise(0.0)
+    return spread.select(
+        "id", "feature_type", (F.col("ring") * step).alias("buffer_size"), value.alias("value"),
+        F.lit(MEASUREMENTS[kind]).alias("measurement"),
+    ).where(F.col("value") > noise)
 
 
 def _plane(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -339,19 +350,54 @@ def _plane(lon: Column, lat: Column) -> tuple[Column, Column]:
     )
 
 
-def _plane_bounds() -> list[Column]:
-    """`near`: metres from the location to the bounding box, 0 inside it."""
+def _edge_in_plane(ax: str, ay: str, bx: str, by: str) -> list[Column]:
+    a_x, a_y = _plane(F.col(ax), F.col(ay))
+    b_x, b_y = _plane(F.col(bx), F.col(by))
+    return [a_x.alias("ax"), a_y.alias("ay"), b_x.alias("bx"), b_y.alias("by")]
+
+
+def _edge_terms(edges: DataFrame) -> DataFrame:
+    """Add direction (dx, dy) and the dot products the circle tests need."""
+    c = F.col
+    return (
+        edges.withColumn("dx", c("bx") - c("ax"))
+        .withColumn("dy", c("by") - c("ay"))
+        .withColumn("dd", c("dx") * c("dx") + c("dy") * c("dy"))
+        .withColumn("ad", c("ax") * c("dx") + c("ay") * c("dy"))
+        .withColumn("aa", c("ax") * c("ax") + c("ay") * c("ay"))
+        .withColumn("bb", c("bx") * c("bx") + c("by") * c("by"))
+    )
+
+
+def _discriminant(step: int) -> Column:
+    """Positive when the line through the edge meets ring `k`."""
+    radius = F.col("k") * F.lit(float(step))
+    return F.col("ad") * F.col("ad") - F.col("dd") * (F.col("aa") - radius * radius)
+
+
+def _box_reach() -> tuple[Column, Column]:
+    """Metres from the location to the nearest and the farthest point of the bounding box."""
     left, low = _plane(F.col("min_x"), F.col("min_y"))
     right, high = _plane(F.col("max_x"), F.col("max_y"))
-    off_x = F.greatest(left, -right, F.lit(0.0))
-    off_y = F.greatest(low, -high, F.lit(0.0))
-    return [F.sqrt(off_x * off_x + off_y * off_y).alias("near")]
+    near_x, near_y = F.greatest(left, -right, F.lit(0.0)), F.greatest(low, -high, F.lit(0.0))
+    far_x, far_y = F.greatest(-left, right), F.greatest(-low, high)
+    return (
+        F.sqrt(near_x * near_x + near_y * near_y),
+        F.sqrt(far_x * far_x + far_y * far_y),
+    )
 
 
 def _unit(share: Column) -> Column:
     return F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
 
 
+def _with_sides(points: DataFrame, outline: DataFrame) -> DataFrame:
+    """Add the edges of a one-row outline to every point; the outline is one subquery."""
+    corner = outline.columns[0]
+    sides = outline.select(_edges_of(F.col(corner)).alias("sides"))
+    return points.withColumn("_sides", sides.scalar())
+
+
 def _edges_of(corners: Column) -> Column:
     """Edges (ax, ay, bx, by) of a closed outline given as corners."""
     n = F.size(corners)
@@ -365,19 +411,23 @@ def _edges_of(corners: Column) -> Column:
     )
 
 
-def _edge_cross(e: Column) -> Column:
-    return e.getField("ax") * e.getField("by") - e.getField("bx") * e.getField("ay")
+def _signed_area(edges: Column) -> Column:
+    """Area left of a closed outline, taken from its first corner to keep the digits."""
+    x0, y0 = F.get(edges, F.lit(0)).getField("ax"), F.get(edges, F.lit(0)).getField("ay")
 
+    def add(total: Column, e: Column) -> Column:
+        cross = (e.getField("ax") - x0) * (e.getField("by") - y0) - (e.getField("bx") - x0) * (
+            e.getField("ay") - y0
+        )
+        return total + cross / 2
 
-def _edge_start_sq(e: Column) -> Column:
-    return e.getField("ax") * e.getField("ax") + e.getField("ay") * e.getField("ay")
+    return F.aggregate(edges, F.lit(0.0), add)
 
 
 def _oriented_edges(ring: Column) -> Column:
     """Edges of a polygon ring, outlines counter-clockwise and holes clockwise."""
     edges = _edges_of(ring.getField("points"))
-    turn = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + _edge_cross(e))
-    flip = (turn < 0) != ring.getField("hole")
+    flip = (_signed_area(edges) < 0) != ring.getField("hole")
     return F.transform(
         edges,
         lambda e: F.when(
@@ -395,23 +445,17 @@ def _side_of(e: Column, x: Column, y: Column) -> Column:
     ) * (x - e.getField("ax"))
 
 
-def _with_edge_overlap(pieces: DataFrame) -> DataFrame:
-    """Add `overlap`: signed area of the triangle (centre, a, b) inside the circle."""
+def _with_edge_overlap(ringed: DataFrame, step: int) -> DataFrame:
+    """Add `overlap`: signed area of the triangle (centre, a, b) inside ring `k`."""
     c = F.col
-    r2 = c("buffer_size").cast("double") * c("buffer_size")
 
     def sector(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
-        return c("r2") / 2 * F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
+        return c("half_r2") * F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
 
+    radius = c("k") * F.lit(float(step))
     solved = (
-        pieces.withColumn("r2", r2)
-        .withColumn("dx", c("bx") - c("ax"))
-        .withColumn("dy", c("by") - c("ay"))
-        .withColumn("dd", c("dx") * c("dx") + c("dy") * c("dy"))
-        .withColumn("ad", c("ax") * c("dx") + c("ay") * c("dy"))
-        .withColumn(
-            "disc", c("ad") * c("ad") - c("dd") * (c("ax") * c("ax") + c("ay") * c("ay") - c("r2"))
-        )
+        ringed.withColumn("half_r2", radius * radius / 2)
+        .withColumn("disc", _discriminant(step))
         .withColumn("root", F.sqrt(F.greatest(c("disc"), F.lit(0.0))))
         .withColumn("t1", _unit(F.try_divide(-c("root") - c("ad"), c("dd"))))
         .withColumn("t2", _unit(F.try_divide(c("root") - c("ad"), c("dd"))))
@@ -453,7 +497,7 @@ def _outer(points: np.ndarray) -> np.ndarray:
     corners = points[np.argmax(points @ ways.T, axis=0)]
     after = np.roll(corners, -1, axis=0)
     edge = after - corners
-    inside = np.ones(len(points), dtype=bool)
+    inside = np.full(len(points), edge.any())
     for (cx, cy), (ex, ey) in zip(corners, edge):
         if ex or ey:
             inside &= ex * (points[:, 1] - cy) - ey * (points[:, 0] - cx) > 0

@@ -22,6 +22,7 @@ from sensorgrid.operators.models import (
     training_rows,
 )
 from sensorgrid.operators.panel import series, series_tolerant, support_gate
+from sensorgrid.operators.spread import spread
 from sensorgrid.operators.windows import fill_gaps
 
 _MAX_FOLDS = 10_000
@@ -183,7 +184,7 @@ def cross_validate(
                 names, settings, (k_by_station or {}).get(fold),
             ).select("feature")
             kept = names.join(chosen, "feature").orderBy("index").select("index").collect()
-            return fold, [r.index for r in kept]
+            return fold, [r["index"] for r in kept]
 
         with ThreadPoolExecutor(parallelism) as pool:
             masks = list(pool.map(fold_features, folds))
@@ -221,7 +222,7 @@ def _held_out_predictions(rows: DataFrame, min_support: int, settings: Settings)
             found.append((pdf["id"][at], key[0], float(value)))
         return pd.DataFrame(found, columns=["id", "ts", "prediction"])
 
-    return rows.groupBy("ts").applyInPandas(one_time, "id string, ts timestamp, prediction double")
+    return spread(rows, "ts").groupBy("ts").applyInPandas(one_time, "id string, ts timestamp, prediction double")
 
 
 def _chosen(
@@ -232,7 +233,7 @@ def _chosen(
     vectors = to_vector(keyed(features), stations, names).persist()
     try:
         chosen = choose_features(kept, vectors, names, settings)
-        listed = [(r.feature, r.index) for r in chosen.collect()]
+        listed = [(r["feature"], r["index"]) for r in chosen.collect()]
     finally:
         kept.unpersist()
         vectors.unpersist()
