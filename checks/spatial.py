@@ -10,6 +10,7 @@ from checks.adapters import Inputs, _metres
 from checks.registry import check
 from checks.relational import _exploded, rounded
 from sensorgrid.operators import features, spatial
+from sensorgrid.operators.spread import spread
 from sensorgrid.plans import networks
 
 CORNERS = [(-118.6, 34.2), (-118.2, 33.8)]
@@ -46,6 +47,15 @@ def _grid(d: Inputs) -> DataFrame:
     return d.a_grid.withColumnRenamed("gid", "id")
 
 
+def _pois(d: Inputs) -> DataFrame:
+    """The point layer; the given file is one split, so its rows are spread first."""
+    return spread(d.a_poi, "poi_id")
+
+
+def _lines(d: Inputs) -> DataFrame:
+    return spread(d.a_line, "line_id")
+
+
 _COUNT_SQL = (
     f"with pairs as (select g.gid, p.fclass, {_metres('g', 'p')} as dist "
     "from a_grid g, a_poi p where abs(g.lat - p.lat) < 0.03e0 and abs(g.lon - p.lon) < 0.05e0{box}) "
@@ -57,7 +67,7 @@ _COUNT_SQL = (
 
 @check("ring_point_count", _COUNT_SQL.format(box=""))
 def _(d: Inputs) -> DataFrame:
-    return spatial.count_in_rings(_grid(d), d.a_poi)
+    return spatial.count_in_rings(_grid(d), _pois(d))
 
 
 # metres east and north of the location g
@@ -86,7 +96,7 @@ _LENGTH_SQL = (
 
 @check("ring_line_length", _LENGTH_SQL)
 def _(d: Inputs) -> DataFrame:
-    return rounded(spatial.length_in_rings(_grid(d), d.a_line), "value", places=3)
+    return rounded(spatial.length_in_rings(_grid(d), _lines(d)), "value", places=3)
 
 
 def _sector(ux: str, uy: str, vx: str, vy: str) -> str:
@@ -119,7 +129,7 @@ _AREA_SQL = (
 
 def _boxes(d: Inputs) -> DataFrame:
     corners = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    return d.a_box.select("poi_id", "fclass", spatial.box_rings(*corners).alias("rings"))
+    return spread(d.a_box, "poi_id").select("poi_id", "fclass", spatial.box_rings(*corners).alias("rings"))
 
 
 @check("ring_box_area", _AREA_SQL)
@@ -145,7 +155,7 @@ def _(d: Inputs) -> DataFrame:
     + ") l) u",
 )
 def _(d: Inputs) -> DataFrame:
-    layers = {"pois": ("points", d.a_poi), "roads": ("lines", d.a_line)}
+    layers = {"pois": ("points", _pois(d)), "roads": ("lines", _lines(d))}
     built = spatial.geo_features(_grid(d), layers, CORNERS)
     return built.withColumn(
         "value",

@@ -143,20 +143,22 @@ def length_in_rings(
     pairs = CellGrid(max_radius).near_boxes(
         spread(locations.select("id", "lon", "lat"), "id"), with_bounds(layer, "lines")
     )
-    solved = _edge_terms(
-        pairs.select("id", "fclass", *_edge_in_plane("x0", "y0", "x1", "y1"))
-    ).where(F.col("dd") > 0)
-    foot = _unit(-F.col("ad") / F.col("dd"))
+    solved = _edge_terms(pairs.select("id", "fclass", *_edge_in_plane("x0", "y0", "x1", "y1")))
+    foot = _unit(F.try_divide(-F.col("ad"), F.col("dd")))
     near_sq = F.col("aa") + foot * (2 * F.col("ad") + foot * F.col("dd"))
     far_sq = F.greatest(F.col("aa"), F.col("bb"))
     placed = solved.withColumn("near", F.sqrt(F.greatest(near_sq, F.lit(0.0)))).withColumn(
         "full", _ring_holding(F.sqrt(far_sq), step)
-    ).where(F.col("near") < max_radius)
+    )
+    # pieces out of reach have no rings and end here; a filter on `near` would be moved
+    # into the join and repeat all of the above for every candidate pair
     ringed = placed.withColumn(
         "k", F.explode(_rings_between(F.col("near"), F.col("full"), step, max_radius))
     )
     root = F.sqrt(F.greatest(_discriminant(step), F.lit(0.0)))
-    clipped = _unit((root - F.col("ad")) / F.col("dd")) - _unit((-root - F.col("ad")) / F.col("dd"))
+    clipped = _unit(F.try_divide(root - F.col("ad"), F.col("dd"))) - _unit(
+        F.try_divide(-root - F.col("ad"), F.col("dd"))
+    )
     whole = F.col("k") == F.col("full")
     parts = ringed.select(
         "id", "fclass", "k",
