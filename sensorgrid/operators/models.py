@@ -199,17 +199,17 @@ def predict_by_time(
 
     def one_block(fitted: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if fitted.empty or points.empty:
-            return pd.DataFrame({"id": [], "ts": pd.to_datetime([]), "prediction": []})
+            return pd.DataFrame(columns=["id", "ts", "prediction"])
         x = np.array(points["features"].tolist(), dtype=float).reshape(len(points), -1)
-        return pd.concat(
-            [
-                pd.DataFrame({
-                    "id": points["id"], "ts": row.ts,
-                    "prediction": forest.predict({c: getattr(row, c) for c in _MODEL_COLUMNS}, x),
-                })
-                for row in fitted.itertuples()
-            ]
-        )
+        predicted = [
+            forest.predict({c: getattr(row, c) for c in _MODEL_COLUMNS}, x)
+            for row in fitted.itertuples()
+        ]
+        return pd.DataFrame({
+            "id": np.tile(points["id"].to_numpy(object), len(fitted)),
+            "ts": np.repeat(fitted["ts"].to_numpy(), len(points)),
+            "prediction": np.concatenate(predicted),
+        })
 
     return (
         spread(placed, "_chunk", "_block").groupBy("_chunk", "_block")
