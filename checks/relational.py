@@ -424,6 +424,19 @@ def _(d: Inputs) -> DataFrame:
     return rounded(rolled.select("event_id", "mean"), "mean")
 
 
+@check(
+    "rolling_copies",
+    "select event_id, n, round(avg(value) over w, 6) as mean, round(median(value) over w, 6) as "
+    "median from (select *, unnest(range(user_id % 3 + 1)) as n from events) e "
+    "window w as (partition by event_type order by epoch(date_trunc('second', ts))::bigint "
+    "range between 7200 preceding and current row)",
+)
+def _(d: Inputs) -> DataFrame:
+    repeated = d.events.withColumn("n", F.explode(F.expr("sequence(0L, user_id % 3)")))
+    rolled = windows.rolling(repeated, "event_type", hours=2, sum_copies=True)
+    return rounded(rolled.select("event_id", "n", "mean", "median"), "mean", "median")
+
+
 @check(
     "row_window_mean",
     "select station_id, ts, round(avg(value) over (partition by station_id order by ts "

@@ -84,43 +84,55 @@ def median_by_split(
     keys: Sequence[str],
     value_col: str = "value",
     out: str = "median",
-    bits: int = 10,
+    levels: Sequence[int] = (12, 32),
 ) -> DataFrame:
     """`median_by` for groups too large for one task.
 
-    Values are counted, then ranked in two steps: first the table of values cut to
-    `bits` leading binary digits, which is short for any group, tells in which cut
-    values the middle ranks fall; then only the values inside those cuts are ranked.
+    Values are counted, then narrowed down to the middle ranks: values cut to the leading
+    binary digits of each level are few, and their counts tell which cut values hold the
+    middle; the next level only looks inside those. After the last level at most 2**21
+    values of a group can be left, however many it had.
     """
     keys = list(keys)
-    counted = (
-        df.groupBy(*keys, F.col(value_col).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cut", _cut(F.col("_v"), bits))
-    )
-    groups = counted.select(*keys).distinct()
-    known = counted.where(F.col("_v").isNotNull())
-
-    by_group = Window.partitionBy(*keys)
-    cuts = known.groupBy(*keys, "_cut").agg(F.sum("_c").alias("_m"))
-    ranked = (
-        cuts.withColumn("_end", F.sum("_m").over(by_group.orderBy("_cut")))
-        .withColumn("_start", F.col("_end") - F.col("_m"))
-        .withColumn("_n", F.sum("_m").over(by_group))
-        .withColumn("_lo", F.floor((F.col("_n") + 1) / 2))
-        .withColumn("_hi", F.floor((F.col("_n") + 2) / 2))
-        .where((F.col("_start") < F.col("_hi")) & (F.col("_end") >= F.col("_lo")))
-        .select(*keys, "_cut", "_start", "_lo", "_hi")
+    counted = df.groupBy(*keys, F.col(value_col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
     )
+    left = counted.where(F.col("_v").isNotNull())
+    for depth, bits in enumerate(levels):
+        left = _middle_cells(left.withColumn("_cut", _cut(F.col("_v"), bits)), keys, depth == 0)
     inside = Window.partitionBy(*keys, "_cut").orderBy("_v")
     middle = (
-        known.join(ranked, [*keys, "_cut"])
-        .withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
+        left.withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .where((F.col("_from") < F.col("_hi")) & (F.col("_to") >= F.col("_lo")))
     )
     picked = middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(out))
-    return groups.join(picked, keys, "left")
+    return counted.select(*keys).distinct().join(picked, keys, "left")
+
+
+def _middle_cells(values: DataFrame, keys: list[str], first: bool) -> DataFrame:
+    """Values in the cells (`_cut`) that hold the middle ranks of their group.
+
+    Adds `_start`, the number of smaller values, and the middle ranks `_lo` and `_hi`.
+    """
+    held = [] if first else ["_start", "_lo", "_hi"]
+    cells = values.groupBy(*keys, *held, "_cut").agg(F.sum("_c").alias("_m"))
+    if first:
+        group = Window.partitionBy(*keys)
+        n = F.sum("_m").over(group)
+        cells = (
+            cells.withColumn("_start", F.lit(0).cast("long"))
+            .withColumn("_lo", F.floor((n + 1) / 2))
+            .withColumn("_hi", F.floor((n + 2) / 2))
+        )
+    parent = Window.partitionBy(*keys, "_start").orderBy("_cut")
+    picked = (
+        cells.withColumn("_end", F.col("_start") + F.sum("_m").over(parent))
+        .withColumn("_begin", F.col("_end") - F.col("_m"))
+        .where((F.col("_begin") < F.col("_hi")) & (F.col("_end") >= F.col("_lo")))
+        .select(*keys, "_cut", F.col("_begin").alias("_start"), "_lo", "_hi")
+    )
+    return values.drop(*held).join(picked, [*keys, "_cut"])
 
 
 def with_aqi(

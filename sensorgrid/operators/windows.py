@@ -10,6 +10,8 @@ same as with one window per station.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,13 +48,37 @@ def rolling(
     hours: float = 3,
     centered: bool = False,
     extra_keys: Sequence[str] = (),
+    sum_copies: bool = False,
 ) -> DataFrame:
-    """Add `unix_time`, rolling `mean` and rolling exact `median` (nulls skipped)."""
+    """Add `unix_time`, rolling `mean` and rolling exact `median` (nulls skipped).
+
+    `sum_copies` is for feeds in which a few readings are repeated a great many times.
+    Equal readings are counted first, the frames run over the counts, and the results
+    are joined back. Without such copies it only adds shuffles.
+    """
+    timed = df.withColumn("unix_time", unix_seconds(F.col(ts_col)))
+    keys = [id_col, *extra_keys]
+    if not sum_copies:
+        rolled = _in_chunks(timed.withColumn("_c", F.lit(1)), keys, value_col, hours, centered)
+        return rolled.drop("_c")
+    moments = [*keys, "unix_time"]
+    counted = timed.groupBy(*moments, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    rolled = _in_chunks(counted, keys, value_col, hours, centered)
+    per_moment = rolled.groupBy(*[F.col(m).alias(f"_m_{m}") for m in moments]).agg(
+        F.first("mean").alias("mean"), F.first("median").alias("median")
+    )
+    same = reduce(and_, [F.col(m).eqNullSafe(F.col(f"_m_{m}")) for m in moments])
+    return timed.join(per_moment, same).drop(*[f"_m_{m}" for m in moments])
+
+
+def _in_chunks(
+    df: DataFrame, keys: list[str], value_col: str, hours: float, centered: bool
+) -> DataFrame:
+    """Rolling mean and median of rows that stand for `_c` readings each."""
     size = int(hours * 3600)
     ahead = size if centered else 0
     chunk = max(_CHUNK_WINDOWS * size, 1)
-    timed = df.withColumn("unix_time", unix_seconds(F.col(ts_col)))
-    spread = timed.withColumn("_own", _floor_div(F.col("unix_time"), chunk)).withColumn(
+    spread = df.withColumn("_own", _floor_div(F.col("unix_time"), chunk)).withColumn(
         "_chunk",
         F.explode_outer(
             F.sequence(
@@ -61,10 +87,13 @@ def rolling(
             )
         ),
     )
-    frame = range_frame([id_col, *extra_keys, "_chunk"], "unix_time", hours, centered)
+    frame = range_frame([*keys, "_chunk"], "unix_time", hours, centered)
+    value = F.col(value_col)
+    known = F.when(value.isNotNull(), F.col("_c"))
+    mean = F.try_divide(F.sum(value * F.col("_c")).over(frame), F.sum(known).over(frame))
     return (
-        spread.withColumn("mean", F.avg(value_col).over(frame))
-        .withColumn("median", F.percentile(value_col, 0.5).over(frame))
+        spread.withColumn("mean", mean)
+        .withColumn("median", F.percentile(value, 0.5, F.col("_c")).over(frame))
         .where(F.col("_chunk").eqNullSafe(F.col("_own")))
         .drop("_chunk", "_own")
     )
@@ -120,11 +149,12 @@ def fill_gaps(
     method: str = "median",
     centered: bool = False,
     extra_keys: Sequence[str] = (),
+    sum_copies: bool = False,
 ) -> DataFrame:
     """Add `label`: the reading, or the rolling `method` ('mean' / 'median') where it is null."""
     if method not in ("mean", "median"):
         raise ValueError("method must be 'mean' or 'median'")
-    rolled = rolling(df, id_col, ts_col, value_col, hours, centered, extra_keys)
+    rolled = rolling(df, id_col, ts_col, value_col, hours, centered, extra_keys, sum_copies)
     return rolled.withColumn("label", F.coalesce(F.col(value_col), F.col(method)))
 
 

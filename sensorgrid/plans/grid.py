@@ -26,6 +26,7 @@ from sensorgrid.operators.spread import spread
 from sensorgrid.operators.windows import fill_gaps
 
 _MAX_FOLDS = 10_000
+_FOLDS_PER_TASK = 16
 
 
 @dataclass(frozen=True)
@@ -165,8 +166,8 @@ def cross_validate(
 
     Clusters and features are chosen per fold by Spark ML jobs, a few folds at a time.
     The per-timestamp fits of all folds then run in one pass over the readings: a
-    timestamp holds one row per station, and its task fits every fold on the rows of
-    the other stations with that fold's features.
+    timestamp holds one row per station, and a task fits a block of folds, each on the
+    rows of the other stations with that fold's features.
     """
     cleaned = fill_gaps(obs, hours=settings.hours, method=settings.method)
     stations = cleaned.select(F.col("station_id").alias("id")).distinct()
@@ -194,13 +195,16 @@ def cross_validate(
     mask = obs.sparkSession.createDataFrame(masks, "id string, mask array<int>")
     tested = cleaned if when is None else cleaned.where(F.col("ts").between(*when))
     rows = training_rows(tested, vectors, keep_null_labels=True).join(mask, "id")
-    held_out = _held_out_predictions(rows, min_support, settings)
+    blocks = -(-len(folds) // _FOLDS_PER_TASK)
+    held_out = _held_out_predictions(rows, blocks, min_support, settings)
     truth = obs.select(F.col("station_id").alias("id"), "ts", "value")
     result = join_truth(held_out, truth, ["id", "ts"]).withColumnRenamed("id", "station_id")
     return result, errors(result, by=["station_id"])
 
 
-def _held_out_predictions(rows: DataFrame, min_support: int, settings: Settings) -> DataFrame:
+def _held_out_predictions(
+    rows: DataFrame, blocks: int, min_support: int, settings: Settings
+) -> DataFrame:
     fit = {"rf": forest.fit_forest, "gbt": forest.fit_boosted}[settings.model]
 
     def one_time(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +212,7 @@ def _held_out_predictions(rows: DataFrame, min_support: int, settings: Settings)
         x = np.array(pdf["features"].tolist(), dtype=float).reshape(len(pdf), -1)
         label, weight = pdf["label"].to_numpy(float), pdf["weight"].to_numpy(float)
         found = []
-        for at in pdf.drop_duplicates("id").index:
+        for at in pdf[pdf["home"] == key[1]].drop_duplicates("id").index:
             others = (pdf["id"] != pdf["id"][at]).to_numpy()
             usable = others & ~np.isnan(label)
             if weight[others].sum() < min_support or not usable.any():
@@ -222,7 +226,11 @@ def _held_out_predictions(rows: DataFrame, min_support: int, settings: Settings)
             found.append((pdf["id"][at], key[0], float(value)))
         return pd.DataFrame(found, columns=["id", "ts", "prediction"])
 
-    return spread(rows, "ts").groupBy("ts").applyInPandas(one_time, "id string, ts timestamp, prediction double")
+    placed = rows.withColumn("home", F.pmod(F.hash("id"), F.lit(blocks))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    fitted = spread(placed, "ts", "block").groupBy("ts", "block")
+    return fitted.applyInPandas(one_time, "id string, ts timestamp, prediction double")
 
 
 def _chosen(

@@ -250,13 +250,19 @@ def test_k_sweep_cost_falls(world):
     assert cost[(None, 2)] >= cost[(None, 4)]
 
 
-def test_cross_validation_never_trains_on_its_own_station(world, spark):
+def test_cross_validation_never_trains_on_its_own_station(world, monkeypatch):
     result, by_station = grid.cross_validate(world["obs"], world["eav"], settings=SMALL)
     assert result.count() == 12 * 8
     errors = {r.station_id: r.rmse for r in by_station.collect()}
     # the extreme station cannot reach its own level when it is held out
     top = result.where("station_id = 's11'").agg(F.max("prediction")).first()[0]
     assert top < 15 and errors["s11"] > 0.5
+    monkeypatch.setattr(grid, "_FOLDS_PER_TASK", 5)
+    blocks, _ = grid.cross_validate(world["obs"], world["eav"], settings=SMALL)
+    key = ["station_id", "ts"]
+    assert {tuple(r) for r in blocks.select(*key, "prediction").collect()} == {
+        tuple(r) for r in result.select(*key, "prediction").collect()
+    }
     gated, _ = grid.cross_validate(world["obs"], world["eav"], min_support=12, settings=SMALL)
     assert gated.count() == 0
 

@@ -106,6 +106,12 @@ def test_split_median_equals_sorting(spark, seed):
     assert got == pytest.approx(statistics.median(values), rel=1e-15)
 
 
+def test_split_median_of_values_that_differ_in_the_last_digits(spark):
+    values = [1.0 + i * 2.0 ** -52 for i in range(501)] + [1.0 + i * 2.0 ** -30 for i in range(500)]
+    df = spark.createDataFrame([("g", v) for v in values], "k string, value double")
+    assert rollup.median_by_split(df, ["k"]).first()["median"] == sorted(values)[500]
+
+
 def test_split_median_near_powers_of_two(spark):
     values = [2.0 ** -3, 2.0 ** -3 - 2.0 ** -56, 8.0, 7.999999999999999, 1024.0, 0.0, -8.0]
     df = spark.createDataFrame([("g", v) for v in values], "k string, value double")

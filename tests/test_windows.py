@@ -41,12 +41,13 @@ def test_fill_gaps_rejects_unknown_method(obs):
         windows.fill_gaps(obs(GAPS), method="mode")
 
 
+@pytest.mark.parametrize("copies", [False, True])
 @pytest.mark.parametrize("centered", [False, True])
-def test_rolling_equals_brute_force_across_chunks(obs, centered):
+def test_rolling_equals_brute_force_across_chunks(obs, centered, copies):
     rng = random.Random(3)
     rows = [("a", rng.randrange(0, 40 * H), rng.choice([None, rng.random()])) for _ in range(400)]
     rows += [("a", rows[0][1], 0.5)] * 3
-    got = windows.rolling(obs(rows), hours=2, centered=centered)
+    got = windows.rolling(obs(rows), hours=2, centered=centered, sum_copies=copies)
     assert got.count() == len(rows)
     for r in got.collect():
         ahead = 2 * H if centered else 0
@@ -59,9 +60,10 @@ def test_rolling_equals_brute_force_across_chunks(obs, centered):
             assert r["mean"] is None and r["median"] is None
 
 
-def test_rolling_keeps_rows_without_time(spark, obs):
+@pytest.mark.parametrize("copies", [False, True])
+def test_rolling_keeps_rows_without_time(spark, obs, copies):
     rows = obs([("a", 0, 1.0)]).union(spark.sql("select 'a', cast(null as timestamp), 5.0D"))
-    assert windows.rolling(rows).count() == 2
+    assert windows.rolling(rows, sum_copies=copies).count() == 2
 
 
 @pytest.mark.parametrize("k,reach", [(3, 1), (4, 1), (5, 2), (1, 0)])
