@@ -63,7 +63,7 @@ def cluster(
     cached = series.is_cached
     kept = series if cached else series.persist()
     try:
-        scaled = as_scaled_vector(kept, col)
+        scaled = as_scaled_vector(packed(kept), col)
         model = KMeans(
             k=k, maxIter=max_iter, seed=seed, featuresCol="scaled", predictionCol="cluster"
         ).fit(scaled)
@@ -118,7 +118,7 @@ def importance(
     )
     kept = labelled.persist()
     try:
-        scaled = as_scaled_vector(kept, "features")
+        scaled = as_scaled_vector(packed(kept), "features")
         model = RandomForestClassifier(
             numTrees=n_trees, maxDepth=max_depth, seed=seed,
             featuresCol="scaled", labelCol="cluster",
@@ -269,6 +269,19 @@ def predict_once(
         fitter = GBTRegressor(maxIter=n_trees, maxDepth=max_depth, seed=seed)
     else:
         raise ValueError("model must be 'rf' or 'gbt'")
-    fitted = fitter.fit(rows)
+    kept = rows.persist()
+    try:
+        fitted = fitter.fit(packed(kept))
+    finally:
+        kept.unpersist()
     targets = as_vector(target_context.select("id", "features"), "features")
     return fitted.transform(targets).select("id", "prediction")
+
+
+def packed(kept: DataFrame, rows_per_task: int = 500) -> DataFrame:
+    """A cached frame of one row per station in as many partitions as it has rows for.
+
+    The fits run dozens of short passes; a cached frame keeps the session's number of
+    shuffle partitions, most of them empty.
+    """
+    return kept.coalesce(max(1, -(-kept.count() // rows_per_task)))

@@ -18,6 +18,7 @@ from sensorgrid.operators.metrics import errors, join_truth, time_errors
 from sensorgrid.operators.models import (
     cluster,
     importance,
+    packed,
     predict,
     training_rows,
 )
@@ -175,13 +176,15 @@ def cross_validate(
     vectors = to_vector(keyed(features), stations, names).persist()
     panel = series(cleaned).persist()
     try:
+        small_panel, small_vectors = packed(panel), packed(vectors)
         folds = [r.id for r in stations.orderBy("id").limit(_MAX_FOLDS + 1).collect()]
         if len(folds) > _MAX_FOLDS:
             raise ValueError(f"more than {_MAX_FOLDS} stations; validate against a second network")
 
         def fold_features(fold: str) -> tuple[str, list[int]]:
             chosen = choose_features(
-                panel.where(F.col("station_id") != fold), vectors.where(F.col("id") != fold),
+                small_panel.where(F.col("station_id") != fold),
+                small_vectors.where(F.col("id") != fold),
                 names, settings, (k_by_station or {}).get(fold),
             ).select("feature")
             kept = names.join(chosen, "feature").orderBy("index").select("index").collect()
@@ -240,7 +243,7 @@ def _chosen(
     kept = panel.persist()
     vectors = to_vector(keyed(features), stations, names).persist()
     try:
-        chosen = choose_features(kept, vectors, names, settings)
+        chosen = choose_features(packed(kept), packed(vectors), names, settings)
         listed = [(r["feature"], r["index"]) for r in chosen.collect()]
     finally:
         kept.unpersist()
