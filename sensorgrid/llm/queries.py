@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorgrid import ship_package
-from sensorgrid.llm import exact_dedup, mixing, packing, sharding
+from sensorgrid.llm import (
+    exact_dedup, mixing, packing, quality, secret_scan, sharding, simhash,
+)
 from sensorgrid.llm.common import prepare
 
 
@@ -17,6 +19,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of near-duplicates."""
+    return simhash.find_near_copies(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents")).select(
@@ -25,6 +39,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and adaptive verdict of all documents."""
+    return quality.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id of each stays."""
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents")).select(
@@ -47,7 +69,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
