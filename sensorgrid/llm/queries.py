@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorgrid import ship_package
 from sensorgrid.llm import (
-    exact_dedup, mixing, packing, quality, secret_scan, sharding, simhash,
+    exact_dedup, html_text, mixing, packing, pii, quality, repeats, secret_scan, sharding, simhash,
 )
 from sensorgrid.llm.common import prepare
 
@@ -26,6 +26,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without their repeated strings of 400 bytes."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
@@ -39,6 +46,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and adaptive verdict of all documents."""
     return quality.judge(_table(spark, sf_dir, "documents")).select(
@@ -54,6 +66,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by the mix of all sources."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select(
@@ -70,10 +87,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_repeats": op2_repeats,
     "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
+    "op5_html_extraction": op5_html_extraction,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }

@@ -38,7 +38,7 @@ _ASSIGN_LEAST, _ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "network")
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-TRAINING_ROWS = 1800
+TRAINING_ROWS = 2400
 RECALL = 0.99
 _BEFORE, _INSIDE = 20, 44
 _WIDTH = _BEFORE + _INSIDE
@@ -136,7 +136,10 @@ class Network:
 def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label) made from public formats, half of them secrets."""
     draw = random.Random(seed)
-    filler = "the value of this page was set and then read by for with new old line".split()
+    filler = (
+        "the value of this page was set and then read by for with new old line deploy use "
+        "please find in our vault server key and user data from code to be sent"
+    ).split()
     letters, base64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
 
     def some(alphabet: str, low: int, high: int) -> str:
@@ -156,6 +159,7 @@ def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[tuple[s
         lambda: some("0123456789ABCDEF", 32, 64),
         lambda: "glpat-" + some(letters + "_-", 20, 20),
         lambda: draw.choice(["ghp_", "key-", "tok_", ""]) + some("0123456789abcdefABCDEF", 32, 40),
+        lambda: draw.choice(["ghp_", "npm_", "key_", ""]) + some(letters + string.digits * 4, 30, 40),
     ]
     plain = [
         lambda: made_words(3, "-") + "-" + some(string.digits, 1, 4),
@@ -201,7 +205,7 @@ def trained(n: int = TRAINING_ROWS, seed: int = _SEED, recall: float = RECALL) -
     names, step = ("kernel", "bias", "out", "shift"), 0
     first = {n: np.zeros_like(getattr(net, n)) for n in names}
     second = {n: np.zeros_like(getattr(net, n)) for n in names}
-    for _ in range(9):
+    for _ in range(12):
         order = rng.permutation(len(x))
         for at in range(0, len(x), 64):
             rows_ = order[at:at + 64]
