@@ -7,7 +7,9 @@ from sensorgrid.functions.geo import (
     inverse_distance_weight,
     wkt_lat,
     wkt_lon,
+    wkt_paths,
     wkt_point,
+    wkt_rings,
 )
 from sensorgrid.functions.text import (
     empty_to_null,
@@ -26,5 +28,5 @@ __all__ = [
     "feature_table", "haversine", "hour_of", "inverse_distance_weight",
     "layer_of_table", "local_to_utc", "parse_loose_timestamp", "rescale",
     "time_of_file", "unix_seconds", "unquote", "utc_to_local", "wkt_lat", "wkt_lon",
-    "wkt_point", "zero_to_null",
+    "wkt_paths", "wkt_point", "wkt_rings", "zero_to_null",
 ]

@@ -40,6 +40,40 @@ def wkt_lat(text: Column) -> Column:
     return empty_number(F.regexp_extract(text, _POINT, 2))
 
 
+def _corners(text: Column) -> Column:
+    """Corners `x y, x y, ...` as array<struct<x, y>>; further ordinates are dropped."""
+    def corner(pair: Column) -> Column:
+        numbers = F.split(F.trim(pair), r"\s+")
+        return F.struct(
+            F.get(numbers, F.lit(0)).try_cast("double").alias("x"),
+            F.get(numbers, F.lit(1)).try_cast("double").alias("y"),
+        )
+
+    return F.transform(F.split(text, ","), corner)
+
+
+def wkt_paths(text: Column) -> Column:
+    """Paths of a WKT (multi)line: array<array<struct<x, y>>>; null when it is none."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1)), _corners)
+    return F.when(text.rlike(r"(?i)^\s*(MULTI)?LINESTRING"), parts)
+
+
+def wkt_rings(text: Column) -> Column:
+    """Rings of a WKT (multi)polygon: array<struct<hole, points>>; null when it is none.
+
+    The first ring behind two brackets is an outline, the others are holes. The closing
+    corner, a copy of the first, is dropped.
+    """
+    def ring(part: Column) -> Column:
+        points = _corners(F.regexp_extract(part, r"\(([^()]+)\)", 1))
+        closed = F.element_at(points, 1) == F.element_at(points, -1)
+        kept = F.slice(points, F.lit(1), F.size(points) - F.when(closed, 1).otherwise(0))
+        return F.struct((~part.startswith("((")).alias("hole"), kept.alias("points"))
+
+    found = F.regexp_extract_all(text, F.lit(r"\(?\([^()]+\)"), F.lit(0))
+    return F.when(text.rlike(r"(?i)^\s*(MULTI)?POLYGON"), F.transform(found, ring))
+
+
 def empty_number(text: Column) -> Column:
     """Double, with the empty string as null."""
     return F.nullif(text, F.lit("")).cast("double")

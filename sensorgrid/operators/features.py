@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorgrid.functions import feature_key
+from sensorgrid.operators.numbering import number_rows
 
 FEATURE_COLUMNS = ("id", "geo_feature", "feature_type", "buffer_size", "value")
 
@@ -170,11 +171,15 @@ def select_features(
     if rule == "nonzero":
         return nonzero
     if rule == "top_frac":
-        ranking = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")
         keep = F.greatest(
             F.floor(nonzero.agg(F.count(F.lit(1))).scalar() * F.lit(float(frac))), F.lit(min_keep)
         )
-        ranked = nonzero.withColumn("_rank", F.row_number().over(ranking))
+        # a bucket holds importances within about one percent of each other
+        falling = nonzero.withColumn("_fall", -F.col("importance"))
+        step = F.when(
+            F.col("importance") > 0, F.floor(-64 * F.log2(F.abs("importance")))
+        ).otherwise(F.lit(1 << 20))
+        ranked = number_rows(falling, ["_fall", "feature"], step, start=1, out="_rank").drop("_fall")
         return ranked.where(F.col("_rank") <= keep).drop("_rank")
     if rule == "mean_factor":
         mean = nonzero.agg(F.avg("importance"))

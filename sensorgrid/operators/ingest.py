@@ -59,10 +59,12 @@ def with_uid(
 def new_stations(batch: DataFrame, known: DataFrame, id_col: str = "station_id") -> DataFrame:
     """(id, lon, lat) of the coordinate pairs of `batch` that `known` lacks.
 
-    Ids continue after the largest known one, in (lon, lat) order.
+    Ids continue after the largest known one, in (lon, lat) order. A pair that lacks a
+    coordinate is no station. Pairs are numbered in strips of about a hundred metres.
     """
-    unseen = batch.select("lon", "lat").distinct().join(known, ["lon", "lat"], "left_anti")
-    return with_uid(unseen, ["lon", "lat"], F.floor("lon"), known, id_col).select(
+    located = batch.select("lon", "lat").where("lon is not null and lat is not null").distinct()
+    unseen = located.join(known, ["lon", "lat"], "left_anti")
+    return with_uid(unseen, ["lon", "lat"], F.floor(F.col("lon") * 1000), known, id_col).select(
         id_col, "lon", "lat"
     )
 
@@ -70,6 +72,9 @@ def new_stations(batch: DataFrame, known: DataFrame, id_col: str = "station_id")
 def upsert_stations(
     batch: DataFrame, known: DataFrame, id_col: str = "station_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """(batch with station id, all stations); unseen coordinate pairs get new ids."""
+    """(batch with station id, all stations); unseen coordinate pairs get new ids.
+
+    Rows that lack a coordinate stay, without a station.
+    """
     stations = known.select(id_col, "lon", "lat").unionByName(new_stations(batch, known, id_col))
-    return batch.join(stations, ["lon", "lat"]), stations
+    return batch.join(stations, ["lon", "lat"], "left"), stations

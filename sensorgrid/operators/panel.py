@@ -23,7 +23,11 @@ def times_per_station(obs: DataFrame, id_col: str = "station_id", ts_col: str =
 
 
 def complete_times(obs: DataFrame, id_col: str = "station_id", ts_col: str = "ts") -> DataFrame:
-    """(ts): timestamps whose row count equals the number of distinct stations."""
+    """(ts): timestamps whose row count equals the number of distinct stations.
+
+    Rows without a station do not count.
+    """
+    obs = obs.where(F.col(id_col).isNotNull())
     n = station_count(obs, id_col)
     rows = obs.groupBy(ts_col).agg(F.count(F.lit(1)).alias("_rows"))
     return rows.where(F.col("_rows") == n.scalar()).select(ts_col)
@@ -32,8 +36,11 @@ def complete_times(obs: DataFrame, id_col: str = "station_id", ts_col: str = "ts
 def one_row_per_slot(
     obs: DataFrame, id_col: str = "station_id", ts_col: str = "ts", label_col: str = "label"
 ) -> DataFrame:
-    """(id, ts, label): duplicates of a slot averaged, a missing label as 0.0."""
-    return obs.groupBy(id_col, ts_col).agg(
+    """(id, ts, label): duplicates of a slot averaged, a missing label as 0.0.
+
+    Rows without a station are left out.
+    """
+    return obs.where(F.col(id_col).isNotNull()).groupBy(id_col, ts_col).agg(
         F.coalesce(F.avg(label_col), F.lit(0.0)).alias(label_col)
     )
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorgrid.functions import aqi_pm25, hour_of
+from sensorgrid.operators.joins import join_null_safe
 
 _SECOND = 1_000_000
+_TINY = 1e-290
 
 
 def hourly_anchor(ts: Column) -> Column:
@@ -107,7 +109,7 @@ def median_by_split(
         .where((F.col("_from") < F.col("_hi")) & (F.col("_to") >= F.col("_lo")))
     )
     picked = middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(out))
-    return counted.select(*keys).distinct().join(picked, keys, "left")
+    return join_null_safe(counted.select(*keys).distinct(), picked, keys, "left")
 
 
 def _middle_cells(values: DataFrame, keys: list[str], first: bool) -> DataFrame:
@@ -132,7 +134,7 @@ def _middle_cells(values: DataFrame, keys: list[str], first: bool) -> DataFrame:
         .where((F.col("_begin") < F.col("_hi")) & (F.col("_end") >= F.col("_lo")))
         .select(*keys, "_cut", F.col("_begin").alias("_start"), "_lo", "_hi")
     )
-    return values.drop(*held).join(picked, [*keys, "_cut"])
+    return join_null_safe(values.drop(*held), picked, [*keys, "_cut"])
 
 
 def with_aqi(
@@ -182,7 +184,8 @@ def _cut(value: Column, bits: int) -> Column:
         .otherwise(guess)
     )
     scale = F.pow(F.lit(2.0), exponent - (bits - 1))
-    plain = (value == 0) | F.isnan(value) | (size == float("inf"))
+    # below _TINY the scale could be no power of two that a double holds
+    plain = (size < _TINY) | F.isnan(value) | (size == float("inf"))
     return F.when(plain, value).otherwise(F.floor(value / scale) * scale)
 
 

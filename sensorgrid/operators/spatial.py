@@ -31,7 +31,7 @@ MEASUREMENTS = {"points": "count", "lines": "length", "polygons": "area"}
 
 
 def ring_sizes(step: int = 100, max_radius: int = 3000) -> list[int]:
-    """Radii of the rings in metres."""
+    """Radii of the rings in metres; the last one reaches `max_radius` or just beyond."""
     return list(range(step, max_radius + step, step))
 
 
@@ -46,7 +46,11 @@ def in_box(
     corners: Sequence[Sequence[float]],
     kind: str = "points",
 ) -> DataFrame:
-    """Shapes that touch the box given by two opposite corners, borders included."""
+    """Shapes that touch the box given by two opposite corners, borders included.
+
+    `kind` is points, lines (straight pieces), polygons or paths (whole polylines, so that
+    a kept one keeps its parts outside the box; cut it with `segments` afterwards).
+    """
     xs = sorted(c[0] for c in corners)
     ys = sorted(c[1] for c in corners)
     if kind == "points":
@@ -66,7 +70,10 @@ def with_bounds(df: DataFrame, kind: str) -> DataFrame:
             df.withColumn("min_x", F.least("x0", "x1")).withColumn("max_x", F.greatest("x0", "x1"))
             .withColumn("min_y", F.least("y0", "y1")).withColumn("max_y", F.greatest("y0", "y1"))
         )
-    corners = F.flatten(F.transform("rings", lambda ring: ring.getField("points")))
+    if kind == "paths":
+        corners = F.col("path")
+    else:
+        corners = F.flatten(F.transform("rings", lambda ring: ring.getField("points")))
     xs = F.transform(corners, lambda p: p.getField("x"))
     ys = F.transform(corners, lambda p: p.getField("y"))
     return (
@@ -121,6 +128,7 @@ def count_in_rings(
 
     Each distance is computed once and counted in the smallest ring that holds it.
     """
+    max_radius = ring_sizes(step, max_radius)[-1]
     layer = points.where(F.col("fclass").isNotNull()).select("fclass", "lon", "lat")
     pairs = distances(locations, layer, max_radius)
     first = F.greatest(F.ceil(F.col("distance") / step), F.lit(1))
@@ -139,6 +147,7 @@ def length_in_rings(
     A piece is clipped only by the rings that cut it; from the first ring that holds
     it whole it counts with its full length.
     """
+    max_radius = ring_sizes(step, max_radius)[-1]
     layer = lines.where(F.col("fclass").isNotNull()).select("fclass", "x0", "y0", "x1", "y1")
     pairs = CellGrid(max_radius).near_boxes(
         spread(locations.select("id", "lon", "lat"), "id"), with_bounds(layer, "lines")
@@ -184,6 +193,7 @@ def area_in_rings(
     """
     if unit not in ("m2", "deg2"):
         raise ValueError("unit must be 'm2' or 'deg2'")
+    max_radius = ring_sizes(step, max_radius)[-1]
     layer = with_bounds(
         polygons.where(F.col("fclass").isNotNull()).select("fclass", "rings"), "polygons"
     ).withColumn("edges", F.flatten(F.transform("rings", _oriented_edges))).drop("rings")
@@ -226,6 +236,10 @@ def area_in_rings(
     return _accumulate(parts, step, max_radius, "polygons", noise)
 
 
+_LAYER_MARK = "\u001f"
+_SHAPES = {
+    "points": ("lon", "lat"), "lines": ("x0", "y0", "x1", "y1"), "polygons": ("rings",),
+}
 _IN_RINGS = {"points": count_in_rings, "lines": length_in_rings, "polygons": area_in_rings}
 
 
@@ -292,14 +306,35 @@ def geo_features(
     step: int = 100,
     max_radius: int = 3000,
 ) -> DataFrame:
-    """Ring features of all `layers` (name -> (kind, rows)), cut to the box `corners` first."""
-    built = None
+    """Ring features of all `layers` (name -> (kind, rows)), cut to the box `corners` first.
+
+    Layers of one kind are joined with the locations together. Whole polylines (kind
+    'paths') become straight pieces behind the box filter.
+    """
+    if not layers:
+        raise ValueError("no layers given")
+    by_kind: dict[str, DataFrame] = {}
     for name, (kind, layer) in layers.items():
         kept = layer if corners is None else in_box(layer, corners, kind)
-        rows = layer_features(locations, kept, kind, name, step, max_radius)
-        built = rows if built is None else built.unionByName(rows)
-    if built is None:
-        raise ValueError("no layers given")
+        if kind == "paths":
+            kind, kept = "lines", segments(kept)
+        # the layer travels as part of the class and is taken out again below
+        shape = [c for c in _SHAPES[kind] if c in kept.columns]
+        named = kept.where(F.col("fclass").isNotNull()).select(
+            F.concat_ws(_LAYER_MARK, F.lit(name), F.col("fclass").cast("string")).alias("fclass"),
+            *shape,
+        )
+        by_kind[kind] = by_kind[kind].unionByName(named) if kind in by_kind else named
+    built = None
+    for kind, rows in by_kind.items():
+        found = _IN_RINGS[kind](locations, rows, step, max_radius)
+        parts = F.split("feature_type", _LAYER_MARK, 2)
+        found = found.select(
+            F.col("id").cast("string").alias("id"), F.get(parts, F.lit(0)).alias("geo_feature"),
+            F.get(parts, F.lit(1)).alias("feature_type"),
+            F.col("buffer_size").cast("int").alias("buffer_size"), "value", "measurement",
+        )
+        built = found if built is None else built.unionByName(found)
     return built
 
 

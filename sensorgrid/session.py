@@ -39,10 +39,13 @@ def get_session(app: str = "sensorgrid", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the cluster's shared folder (`spark.checkpoint.dir`).
 
-    Only when the session names none (a laptop, a test) a local folder is made.
+    Only a local session may name none: its tasks see a folder of this machine. On a
+    cluster that is an error, as every executor would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sensorgrid-")
     return os.path.join(root.rstrip("/"), f"{purpose}-{uuid.uuid4().hex}")
 

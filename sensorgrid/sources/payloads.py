@@ -64,7 +64,8 @@ def parse_station_csv(df: DataFrame, col: str = "line") -> DataFrame:
     """One observation per non-empty line of the station feed; other columns are kept.
 
     A line is eight quoted fields: latitude, longitude, UTC minute, parameter,
-    concentration, unit, index, category. An empty category is null.
+    concentration, unit, index, category. An empty field, or one that is no number where a
+    number belongs, is null.
     """
     schema = ", ".join(f"{name} string" for name in STATION_FEED)
     others = [c for c in df.columns if c != col]
@@ -80,13 +81,13 @@ def parse_station_csv(df: DataFrame, col: str = "line") -> DataFrame:
     return fields.select(
         *others,
         F.try_to_timestamp(text("ts"), F.lit(STATION_TIME)).alias("ts"),
-        text("lon").cast("double").alias("lon"),
-        text("lat").cast("double").alias("lat"),
+        text("lon").try_cast("double").alias("lon"),
+        text("lat").try_cast("double").alias("lat"),
         text("parameter").alias("parameter"),
-        text("concentration").cast("double").alias("concentration"),
+        text("concentration").try_cast("double").alias("concentration"),
         text("unit").alias("unit"),
-        text("aqi").cast("double").alias("aqi"),
-        text("category").cast("int").alias("category"),
+        text("aqi").try_cast("double").alias("aqi"),
+        text("category").try_cast("int").alias("category"),
     )
 
 
