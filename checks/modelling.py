@@ -48,7 +48,8 @@ def _(d: Inputs) -> DataFrame:
 
 @check("k_sweep")
 def _(d: Inputs) -> DataFrame:
-    return models.k_sweep(_panel(d), ks=[2, 3, 4], folds=[None, "s0", "s7"])
+    folds = [None, *(r.station_id for r in d.a_station.orderBy("station_id").collect())]
+    return models.k_sweep(_panel(d), ks=range(2, len(folds) - 1), folds=folds)
 
 
 @check("importance")
@@ -101,9 +102,111 @@ _GRID_ROWS = (
 )
 
 
+# A boosted ensemble of depth 0 predicts the mean of its labels, which SQL can tell.
+_MEAN = grid.Settings(k=4, importance_trees=5, model="gbt", n_trees=1, max_depth=0)
+_LABELLED = (
+    "with lab as (select station_id, ts, coalesce(value, median(value) over (partition by "
+    "station_id order by epoch(ts)::bigint range between 10800 preceding and current row)) "
+    "as label from {obs}) "
+)
+
+
+def _every(df: DataFrame):
+    """The time range of the data."""
+    return df.agg(F.min("ts")).scalar(), df.agg(F.max("ts")).scalar()
+
+
+@check(
+    "predict_gbt_mean",
+    _LABELLED.format(obs="a_obs_day") + "select cast(g.gid as varchar) as id, t.ts, t.prediction "
+    "from a_grid g, (select ts, round(avg(label), 6) as prediction from lab where label is not "
+    "null group by 1) t",
+)
+def _(d: Inputs) -> DataFrame:
+    context, targets = _contexts(d)
+    found = models.predict(_labels(d), context, targets, "gbt", n_trees=1, max_depth=0)
+    return rounded(found, "prediction")
+
+
+@check(
+    "predict_grid_mean",
+    _LABELLED.format(obs="a_obs_day") + "select cast(g.gid as varchar) as gid, t.ts, g.lon, g.lat, "
+    "t.prediction from a_grid g, (select ts, round(avg(label), 6) as prediction from lab group by "
+    "ts having count(*) >= floor(0.75e0 * (select count(distinct station_id) from lab)) "
+    "and count(label) > 0) t",
+)
+def _(d: Inputs) -> DataFrame:
+    found = grid.predict_grid(
+        d.a_obs_day, d.a_eav, d.a_eav_grid, d.a_grid, _every(d.a_obs_day), settings=_MEAN
+    )
+    return rounded(found, "prediction")
+
+
+@check(
+    "cross_validate_mean",
+    _LABELLED.format(obs="a_obs_day") + "select o.station_id, o.ts, round(o.value, 6) as truth, "
+    "round(avg(l.label), 6) as prediction from a_obs_day o join lab l on l.ts = o.ts and "
+    "l.station_id <> o.station_id group by 1, 2, o.value having count(*) >= 10 and count(l.label) > 0",
+)
+def _(d: Inputs) -> DataFrame:
+    found, _ = grid.cross_validate(d.a_obs_day, d.a_eav, settings=_MEAN)
+    return rounded(found.select("station_id", "ts", "truth", "prediction"), "truth", "prediction")
+
+
+@check(
+    "validate_against_mean",
+    _LABELLED.format(obs="a_obs_day_even") + "select o.station_id as id, o.ts, round(o.value, 6) as "
+    "truth, t.prediction from a_obs_day_odd o join (select ts, round(avg(label), 6) as prediction "
+    "from lab group by 1 having count(*) >= 10 and count(label) > 0) t on t.ts = o.ts",
+)
+def _(d: Inputs) -> DataFrame:
+    truth = d.a_obs_day_odd.withColumnRenamed("station_id", "id")
+    found, _ = grid.validate_against(
+        d.a_obs_day_even, d.a_eav24, truth, d.a_eav24, min_support=10, settings=_MEAN
+    )
+    return rounded(found.select("id", "ts", "truth", "prediction"), "truth", "prediction")
+
+
+@check(
+    "kmeans_nearest",
+    "select station_id, true as nearest from a_station",
+)
+def _(d: Inputs) -> DataFrame:
+    """The centre (mean of the members) of a station's own cluster is its nearest."""
+    rows = features.as_scaled_vector(models.cluster(_panel(d), k=4)[0].drop("scaled"), "series")
+    flat = rows.select("station_id", "cluster", F.posexplode(vector_to_array("scaled")).alias("i", "x"))
+    centres = flat.groupBy(F.col("cluster").alias("c"), "i").agg(F.avg("x").alias("m"))
+    apart = flat.join(centres, "i").groupBy("station_id", "cluster", "c").agg(
+        F.sum(F.pow(F.col("x") - F.col("m"), 2)).alias("gap")
+    )
+    best = apart.groupBy("station_id").agg(
+        F.min("gap").alias("least"), F.min(F.when(F.col("c") == F.col("cluster"), F.col("gap"))).alias("own")
+    )
+    return best.select("station_id", (F.col("own") <= F.col("least") + 1e-6).alias("nearest"))
+
+
+@check(
+    "pca_norms",
+    "with n as (select count(*) as k, len(any_value(embedding)) as dims from embeddings), x as ("
+    "select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from "
+    "embeddings), s as (select i, avg(v) as m, stddev_samp(v) as sd from x group by 1) "
+    "select vec_id, round(sum(pow(case when sd > 0 then (v - m) / sd else 0 end, 2)), 4) as norm "
+    "from x join s using (i) group by 1",
+)
+def _(d: Inputs) -> DataFrame:
+    """A projection on all components keeps the squared length of every row."""
+    wide = d.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    dims = wide.select(F.size("x")).first()[0]
+    projected, _ = features.pca(features.as_scaled_vector(wide, "x"), "scaled", dims, "projected")
+    squares = F.aggregate(
+        vector_to_array("projected"), F.lit(0.0), lambda total, v: total + v * v
+    )
+    return rounded(projected.select("vec_id", squares.alias("norm")), "norm", places=4)
+
+
 @check("predict_grid")
 def _(d: Inputs) -> DataFrame:
-    every = (F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"))
+    every = _every(d.a_obs_day)
     return grid.predict_grid(
         d.a_obs_day, d.a_eav, d.a_eav_grid, d.a_grid, every, settings=_SETTINGS
     )
@@ -111,7 +214,7 @@ def _(d: Inputs) -> DataFrame:
 
 @check("predict_grid_keys", _GRID_ROWS.format(latest=""))
 def _(d: Inputs) -> DataFrame:
-    every = (F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"))
+    every = _every(d.a_obs_day)
     settings = grid.Settings(k=4, importance_trees=5, n_trees=2)
     return grid.predict_grid(
         d.a_obs_day, d.a_eav, d.a_eav_grid, d.a_grid, every, settings=settings
@@ -155,7 +258,7 @@ def _(d: Inputs) -> DataFrame:
         "sensor_id", F.date_trunc("day", "ts").alias("ts"), F.col("pm2_5").alias("value")
     )
     settings = grid.Settings(k=4, importance_trees=20, n_trees=20, rule="mean_factor")
-    every = (F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"))
+    every = _every(day)
     return grid.predict_grid_network(
         day, d.a_directory, d.a_eav_sensor.unionByName(d.a_eav), d.a_eav_grid, d.a_grid,
         extra_obs=d.a_obs_day, tolerance=31, when=every, min_support=40, settings=settings,

@@ -23,6 +23,8 @@ _MODEL_FIELDS = (
     "feature array<int>, threshold array<double>, lower array<int>, upper array<int>, "
     "value array<double>, root array<int>, share array<double>"
 )
+#: partitions of the station rows that a model is fitted on
+FIT_PARTITIONS = 16
 _MODEL_COLUMNS = ("feature", "threshold", "lower", "upper", "value", "root", "share")
 
 # Tuned number of clusters per held-out station, by parameter (hourly).
@@ -57,19 +59,18 @@ def station_clusters(spark: SparkSession) -> DataFrame:
 
 
 def cluster(
-    series: DataFrame, k: int, seed: int = 1, max_iter: int = 100, col: str = "series"
+    series: DataFrame, k: int, seed: int = 1, max_iter: int = 100, col: str = "series",
+    id_col: str = "station_id",
 ) -> tuple[DataFrame, float]:
-    """(rows with `cluster`, within-set squared error) of k-means on the scaled series. Fits."""
-    cached = series.is_cached
-    kept = series if cached else series.persist()
-    try:
-        scaled = as_scaled_vector(packed(kept), col)
-        model = KMeans(
-            k=k, maxIter=max_iter, seed=seed, featuresCol="scaled", predictionCol="cluster"
-        ).fit(scaled)
-    finally:
-        if not cached:
-            kept.unpersist()
+    """(rows with `cluster`, within-set squared error) of k-means on the scaled series. Fits.
+
+    The scaled rows stay cached: the fit passes over them many times, and the result
+    reads them again.
+    """
+    scaled = as_scaled_vector(packed(series, id_col), col).persist()
+    model = KMeans(
+        k=k, maxIter=max_iter, seed=seed, featuresCol="scaled", predictionCol="cluster"
+    ).fit(scaled)
     return model.transform(scaled).drop("scaled"), float(model.summary.trainingCost)
 
 
@@ -91,7 +92,7 @@ def k_sweep(
     def one(task: tuple[str | None, int]) -> tuple[str | None, int, float]:
         fold, k = task
         rows = kept if fold is None else kept.where(F.col(id_col) != fold)
-        return fold, k, cluster(rows, k, seed, max_iter)[1]
+        return fold, k, cluster(rows, k, seed, max_iter, id_col=id_col)[1]
 
     try:
         tasks = [(fold, k) for fold in folds for k in ks]
@@ -118,7 +119,7 @@ def importance(
     )
     kept = labelled.persist()
     try:
-        scaled = as_scaled_vector(packed(kept), "features")
+        scaled = as_scaled_vector(packed(kept, id_col), "features")
         model = RandomForestClassifier(
             numTrees=n_trees, maxDepth=max_depth, seed=seed,
             featuresCol="scaled", labelCol="cluster",
@@ -271,17 +272,17 @@ def predict_once(
         raise ValueError("model must be 'rf' or 'gbt'")
     kept = rows.persist()
     try:
-        fitted = fitter.fit(packed(kept))
+        fitted = fitter.fit(packed(kept, "id"))
     finally:
         kept.unpersist()
     targets = as_vector(target_context.select("id", "features"), "features")
     return fitted.transform(targets).select("id", "prediction")
 
 
-def packed(kept: DataFrame, rows_per_task: int = 500) -> DataFrame:
-    """A cached frame of one row per station in as many partitions as it has rows for.
+def packed(rows: DataFrame, id_col: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """One row per station, laid out by a hash of the station in a fixed order.
 
-    The fits run dozens of short passes; a cached frame keeps the session's number of
-    shuffle partitions, most of them empty.
+    Bagging and the start of k-means depend on the layout of the rows, so it depends on
+    the stations only, not on their number or on the session.
     """
-    return kept.coalesce(max(1, -(-kept.count() // rows_per_task)))
+    return rows.repartition(partitions, id_col).sortWithinPartitions(id_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -18,15 +19,15 @@ from sensorgrid.operators.metrics import errors, join_truth, time_errors
 from sensorgrid.operators.models import (
     cluster,
     importance,
-    packed,
     predict,
     training_rows,
 )
 from sensorgrid.operators.panel import series, series_tolerant, support_gate
 from sensorgrid.operators.spread import spread
 from sensorgrid.operators.windows import fill_gaps
+from sensorgrid.session import shared_dir
 
-_MAX_FOLDS = 10_000
+_FOLDS_PER_PAGE = 256
 _FOLDS_PER_TASK = 16
 
 
@@ -176,29 +177,31 @@ def cross_validate(
     vectors = to_vector(keyed(features), stations, names).persist()
     panel = series(cleaned).persist()
     try:
-        small_panel, small_vectors = packed(panel), packed(vectors)
-        folds = [r.id for r in stations.orderBy("id").limit(_MAX_FOLDS + 1).collect()]
-        if len(folds) > _MAX_FOLDS:
-            raise ValueError(f"more than {_MAX_FOLDS} stations; validate against a second network")
-
         def fold_features(fold: str) -> tuple[str, list[int]]:
             chosen = choose_features(
-                small_panel.where(F.col("station_id") != fold),
-                small_vectors.where(F.col("id") != fold),
+                panel.where(F.col("station_id") != fold),
+                vectors.where(F.col("id") != fold),
                 names, settings, (k_by_station or {}).get(fold),
             ).select("feature")
             kept = names.join(chosen, "feature").orderBy("index").select("index").collect()
             return fold, [r["index"] for r in kept]
 
+        # the chosen features of a page of folds are written before the next page starts
+        spark, folder = obs.sparkSession, shared_dir(obs.sparkSession, "fold-features")
+        schema, n_folds = "id string, mask array<int>", 0
+        found = stations.orderBy("id").toLocalIterator()
         with ThreadPoolExecutor(parallelism) as pool:
-            masks = list(pool.map(fold_features, folds))
+            while page := [r.id for r in itertools.islice(found, _FOLDS_PER_PAGE)]:
+                masks = list(pool.map(fold_features, page))
+                spark.createDataFrame(masks, schema).write.mode("append").parquet(folder)
+                n_folds += len(page)
     finally:
         panel.unpersist()
         vectors.unpersist()
-    mask = obs.sparkSession.createDataFrame(masks, "id string, mask array<int>")
+    mask = spark.read.schema(schema).parquet(folder) if n_folds else spark.createDataFrame([], schema)
     tested = cleaned if when is None else cleaned.where(F.col("ts").between(*when))
     rows = training_rows(tested, vectors, keep_null_labels=True).join(mask, "id")
-    blocks = -(-len(folds) // _FOLDS_PER_TASK)
+    blocks = max(1, -(-n_folds // _FOLDS_PER_TASK))
     held_out = _held_out_predictions(rows, blocks, min_support, settings)
     truth = obs.select(F.col("station_id").alias("id"), "ts", "value")
     result = join_truth(held_out, truth, ["id", "ts"]).withColumnRenamed("id", "station_id")
@@ -243,7 +246,7 @@ def _chosen(
     kept = panel.persist()
     vectors = to_vector(keyed(features), stations, names).persist()
     try:
-        chosen = choose_features(packed(kept), packed(vectors), names, settings)
+        chosen = choose_features(kept, vectors, names, settings)
         listed = [(r["feature"], r["index"]) for r in chosen.collect()]
     finally:
         kept.unpersist()
