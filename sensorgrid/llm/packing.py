@@ -8,6 +8,7 @@ finds the tightest window that is open and has room. Memory of a task: its open
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +23,16 @@ from sensorgrid.llm.common import text_of
 WINDOW = 4096
 END_ID = 2
 #: Characters of words whose ids a worker keeps; beyond it starts again.
-_CACHED_CHARS = 3_000_000
+_CACHED_CHARS = 8_000_000
 #: Characters that are split into words at a time.
 _BLOCK_CHARS = 2_000_000
 
+#: A character that is one token by itself, and how many words are tokenised together.
+_MARK = "\x01"
+_BETWEEN, _TOGETHER = f" {_MARK} ", 500
+#: Marks that often end a word; each is one token.
+_ENDS = (",", ".")
+
 
 def blocks(text: str, limit: int = _BLOCK_CHARS) -> Iterator[str]:
     """`text` in parts of about `limit` characters, cut at blanks or line feeds."""
@@ -46,14 +53,16 @@ def blocks(text: str, limit: int = _BLOCK_CHARS) -> Iterator[str]:
 class WordTokens:
     """Token ids of texts, tokenising each distinct word once.
 
-    The tokenizer splits at white space before it merges, so the ids of a text are the ids
-    of its words between blanks and line feeds.
+    The tokenizer lowers letters and splits at white space, and between a letter and a mark,
+    before it merges. So the ids of a text are those of its lowered words between blanks and
+    line feeds, and a word that ends in a comma or full stop is tokenised without it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
@@ -62,23 +71,61 @@ class WordTokens:
         self.flat = np.empty(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+    def _learn(self, words: set[str]) -> None:
+        """Keep the ids of new words."""
+        stems = {w: w[:-1] for w in words if w[-1:] in _ENDS and w[-2:-1].lower().isalpha()}
+        self._tokenise(sorted({*words.difference(stems), *stems.values(), *_ENDS}
+                              .difference(self.index)))
+        first, lengths, tails = [], [], []
+        for word, stem in stems.items():
+            i = self.index[stem]
+            first.append(self.ends[i])
+            lengths.append(self.ends[i + 1] - self.ends[i])
+            tails.append(self.index[word[-1]])
+        if stems:
+            first, lengths = np.array(first), np.array(lengths)
+            ends = np.cumsum(lengths)
+            body = self.flat[np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1])]
+            # the mark's single id goes behind each stem
+            flat = np.insert(body, ends, self.flat[self.ends[np.array(tails)]])
+            self._keep(list(stems), lengths + 1, flat)
+
+    def _keep(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.index.update(zip(words, itertools.count(len(self.index))))
         self.chars += sum(map(len, words))
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        more = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, more])
+        self.flat = np.concatenate([self.flat, flat])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
 
+    def _tokenise(self, words: list[str]) -> None:
+        """Many words at a time, with a mark between."""
+        alone = [w for w in words if _MARK in w]
+        words = [w for w in words if _MARK not in w] if alone else words
+        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in alone]
+        lengths = [np.array(list(map(len, found)), dtype=np.int64)]
+        flat = [np.array([i for ids in found for i in ids], dtype=np.uint32)]
+        lines = [
+            _BETWEEN.join(words[at:at + _TOGETHER]) for at in range(0, len(words), _TOGETHER)
+        ]
+        for line in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(line.ids, dtype=np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            ends = np.append(marks, len(ids))
+            lengths.append(np.diff(ends, prepend=-1) - 1)
+            flat.append(np.delete(ids, marks))
+        self._keep([*alone, *words], np.concatenate(lengths), np.concatenate(flat))
+
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        # a final sigma is lowered by its place in the word: leave it to the tokenizer
+        split = [
+            (text if "\u03a3" in text else text.lower()).replace("\n", " ").split(" ")
+            for text in texts
+        ]
         words: set[str] = set()
         for own in split:
             words.update(own)
         if self.chars > _CACHED_CHARS:
             self._clear()
-        if new := sorted(words.difference(self.index)):
+        if new := words.difference(self.index):
             self._learn(new)
         out = []
         for own in split:
