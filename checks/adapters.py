@@ -19,9 +19,11 @@ def _place(key: str) -> str:
     )
 
 
-def _panel(unit: str, where: str = "true", stations: int = 12) -> str:
+def _panel(unit: str, where: str = "true", stations: int | None = 12) -> str:
+    """Readings per station and unit: one station per user, or users dealt to a few."""
+    key = "user_id" if stations is None else f"user_id % {stations}"
     return (
-        f"select concat('s', user_id % {stations}) as station_id, "
+        f"select concat('s', {key}) as station_id, "
         f"cast(date_trunc('{unit}', ts) as timestamp) as ts, "
         "avg(case when event_type <> 'error' then value end) as value "
         f"from events where {where} group by 1, 2"
@@ -37,6 +39,19 @@ def _metres(a: str, b: str) -> str:
 
 
 VIEWS = {
+    # one station per user: grows with the tables
+    "a_obs_user": _panel("hour", stations=None),
+    "a_station_user": (
+        f"select concat('s', k) as station_id, {_place('k')} from "
+        "(select distinct user_id as k from events) u"
+    ),
+    # stations within a strip of latitude, so that the pairs stay near each other
+    "a_distance_user": (
+        f"select a.station_id as id_a, b.station_id as id_b, {_metres('a', 'b')} as distance "
+        "from a_station_user a join a_station_user b on floor(a.lat * 10e0) = floor(b.lat * 10e0) "
+        "where a.station_id <> b.station_id and (a.lon <> b.lon or a.lat <> b.lat)"
+    ),
+    # a small, dense network for series and models
     "a_obs_hour": _panel("hour"),
     "a_obs_day": _panel("day"),
     # two networks: readings of even and of odd users

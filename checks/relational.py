@@ -82,21 +82,21 @@ def _(d: Inputs) -> DataFrame:
 
 @check(
     "latest_slice",
-    "select station_id, ts, round(value, 6) as value from a_obs_hour "
-    "where ts = (select max(ts) from a_obs_hour)",
+    "select station_id, ts, round(value, 6) as value from a_obs_user "
+    "where ts = (select max(ts) from a_obs_user)",
 )
 def _(d: Inputs) -> DataFrame:
-    return rounded(latest(d.a_obs_hour), "value")
+    return rounded(latest(d.a_obs_user), "value")
 
 
 @check(
     "time_range",
-    "select station_id, ts, round(value, 6) as value from a_obs_hour "
+    "select station_id, ts, round(value, 6) as value from a_obs_user "
     "where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-12 00:00:00'",
 )
 def _(d: Inputs) -> DataFrame:
     start, end = F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12").cast("timestamp")
-    return rounded(time_range(d.a_obs_hour, start, end), "value")
+    return rounded(time_range(d.a_obs_user, start, end), "value")
 
 
 @check(
@@ -125,10 +125,10 @@ def _(d: Inputs) -> DataFrame:
 
 @check(
     "positive_values",
-    "select station_id, count(*) as n from a_obs_hour where value > 0 group by 1",
+    "select station_id, count(*) as n from a_obs_user where value > 0 group by 1",
 )
 def _(d: Inputs) -> DataFrame:
-    return d.a_obs_hour.where("value > 0").groupBy("station_id").agg(F.count("*").alias("n"))
+    return d.a_obs_user.where("value > 0").groupBy("station_id").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- payloads
@@ -389,27 +389,27 @@ _BACK3 = _HOURS.format(back=10800, ahead=0)
 
 @check(
     "rolling_mean",
-    f"select station_id, ts, round(avg(value) {_BACK3}, 6) as mean from a_obs_hour",
+    f"select station_id, ts, round(avg(value) {_BACK3}, 6) as mean from a_obs_user",
 )
 def _(d: Inputs) -> DataFrame:
-    return rounded(windows.rolling(d.a_obs_hour).select("station_id", "ts", "mean"), "mean")
+    return rounded(windows.rolling(d.a_obs_user).select("station_id", "ts", "mean"), "mean")
 
 
 @check(
     "rolling_median",
-    f"select station_id, ts, round(median(value) {_BACK3}, 6) as median from a_obs_hour",
+    f"select station_id, ts, round(median(value) {_BACK3}, 6) as median from a_obs_user",
 )
 def _(d: Inputs) -> DataFrame:
-    return rounded(windows.rolling(d.a_obs_hour).select("station_id", "ts", "median"), "median")
+    return rounded(windows.rolling(d.a_obs_user).select("station_id", "ts", "median"), "median")
 
 
 @check(
     "rolling_centered",
     f"select station_id, ts, round(avg(value) {_HOURS.format(back=7200, ahead=7200)}, 6) as mean, "
-    f"round(median(value) {_HOURS.format(back=7200, ahead=7200)}, 6) as median from a_obs_hour",
+    f"round(median(value) {_HOURS.format(back=7200, ahead=7200)}, 6) as median from a_obs_user",
 )
 def _(d: Inputs) -> DataFrame:
-    rolled = windows.rolling(d.a_obs_hour, hours=2, centered=True)
+    rolled = windows.rolling(d.a_obs_user, hours=2, centered=True)
     return rounded(rolled.select("station_id", "ts", "mean", "median"), "mean", "median")
 
 
@@ -440,47 +440,47 @@ def _(d: Inputs) -> DataFrame:
 @check(
     "row_window_mean",
     "select station_id, ts, round(avg(value) over (partition by station_id order by ts "
-    "rows between 2 preceding and 2 following), 6) as mean from a_obs_hour",
+    "rows between 2 preceding and 2 following), 6) as mean from a_obs_user",
 )
 def _(d: Inputs) -> DataFrame:
-    framed = windows.row_window(d.a_obs_hour, k=5, rows_per_block=128)
+    framed = windows.row_window(d.a_obs_user, k=5, rows_per_block=128)
     return rounded(framed.select("station_id", "ts", "mean"), "mean")
 
 
 def _fill_sql(stat: str) -> str:
     return (
         f"select station_id, ts, round(value, 6) as value, "
-        f"round(coalesce(value, {stat}(value) {_BACK3}), 6) as label from a_obs_hour"
+        f"round(coalesce(value, {stat}(value) {_BACK3}), 6) as label from a_obs_user"
     )
 
 
 @check("fill_gaps_median", _fill_sql("median"))
 def _(d: Inputs) -> DataFrame:
-    filled = windows.fill_gaps(d.a_obs_hour, method="median")
+    filled = windows.fill_gaps(d.a_obs_user, method="median")
     return rounded(filled.select("station_id", "ts", "value", "label"), "value", "label")
 
 
 @check("fill_gaps_mean", _fill_sql("avg"))
 def _(d: Inputs) -> DataFrame:
-    filled = windows.fill_gaps(d.a_obs_hour, method="mean")
+    filled = windows.fill_gaps(d.a_obs_user, method="mean")
     return rounded(filled.select("station_id", "ts", "value", "label"), "value", "label")
 
 
 # ---------------------------------------------------------------- panels
 
 
-@check("station_count", "select count(distinct station_id) as n_stations from a_obs_hour")
+@check("station_count", "select count(distinct station_id) as n_stations from a_obs_user")
 def _(d: Inputs) -> DataFrame:
-    return panel.station_count(d.a_obs_hour)
+    return panel.station_count(d.a_obs_user)
 
 
 @check(
     "support_count",
-    "select station_id, ts, round(value, 6) as value from a_obs_hour "
+    "select station_id, ts, round(value, 6) as value from a_obs_user "
     "qualify count(*) over (partition by ts) >= 10",
 )
 def _(d: Inputs) -> DataFrame:
-    gated = panel.support_gate(d.a_obs_hour, min_rows=10)
+    gated = panel.support_gate(d.a_obs_user, min_rows=10)
     return rounded(gated.select("station_id", "ts", "value"), "value")
 
 
@@ -496,30 +496,30 @@ def _(d: Inputs) -> DataFrame:
 
 @check(
     "times_with_support",
-    "select ts, count(station_id) as n_rows from a_obs_hour group by ts having count(*) >= 10",
+    "select ts, count(station_id) as n_rows from a_obs_user group by ts having count(*) >= 10",
 )
 def _(d: Inputs) -> DataFrame:
-    return panel.eligible_times(d.a_obs_hour, min_rows=10)
+    return panel.eligible_times(d.a_obs_user, min_rows=10)
 
 
 @check(
     "loo_split_counts",
     "select f.station_id, sum(case when o.station_id = f.station_id then 1 else 0 end)::bigint "
     "as n_test, sum(case when o.station_id <> f.station_id then 1 else 0 end)::bigint as n_train "
-    "from (select distinct station_id from a_obs_hour) f, a_obs_hour o group by 1",
+    "from (select distinct station_id from a_obs_user) f, a_obs_user o group by 1",
 )
 def _(d: Inputs) -> DataFrame:
-    return panel.leave_one_out_sizes(d.a_obs_hour)
+    return panel.leave_one_out_sizes(d.a_obs_user)
 
 
 @check(
     "loo_split",
     f"select 'train' as part, station_id, ts, round(coalesce(value, median(value) {_BACK3}), 6) "
-    "as reading from a_obs_hour where station_id <> 's3' union all "
-    "select 'test', station_id, ts, round(value, 6) from a_obs_hour where station_id = 's3'",
+    "as reading from a_obs_user where station_id <> 's3' union all "
+    "select 'test', station_id, ts, round(value, 6) from a_obs_user where station_id = 's3'",
 )
 def _(d: Inputs) -> DataFrame:
-    train, test = panel.leave_one_out(d.a_obs_hour, windows.fill_gaps(d.a_obs_hour), "s3")
+    train, test = panel.leave_one_out(d.a_obs_user, windows.fill_gaps(d.a_obs_user), "s3")
     return train.select(
         F.lit("train").alias("part"), "station_id", "ts", F.round("label", 6).alias("reading")
     ).union(
@@ -594,10 +594,10 @@ def _(d: Inputs) -> DataFrame:
 @check(
     "times_per_station",
     "select station_id, row_number() over (partition by station_id order by ts) - 1 as pos, ts "
-    "from (select distinct station_id, ts from a_obs_hour) o",
+    "from (select distinct station_id, ts from a_obs_user) o",
 )
 def _(d: Inputs) -> DataFrame:
-    times = panel.times_per_station(d.a_obs_hour)
+    times = panel.times_per_station(d.a_obs_user)
     flat = times.select("station_id", F.posexplode("times").alias("pos", "ts"))
     return flat.withColumn("pos", F.col("pos").cast("long"))
 
@@ -674,7 +674,7 @@ _IDW_SQL = """
     from {target} t join p on p.id_a = t.station_id and p.ts = t.ts {loo}
 """
 _LOO = dict(
-    distance="a_distance", source="a_obs_hour", target="a_obs_hour", having="",
+    distance="a_distance_user", source="a_obs_user", target="a_obs_user", having="",
     divisor="w.weight", loo="join times on times.ts = t.ts where times.n - 1 >= 8",
 )
 _TWO = dict(
@@ -702,7 +702,7 @@ def _(d: Inputs) -> DataFrame:
 
 @check("idw_loo", _IDW_SQL.format(**_LOO))
 def _(d: Inputs) -> DataFrame:
-    return rounded(idw.idw_loo(d.a_obs_hour, d.a_distance, min_sources=8), "truth", "prediction")
+    return rounded(idw.idw_loo(d.a_obs_user, d.a_distance_user, min_sources=8), "truth", "prediction")
 
 
 _ERRORS = (
@@ -721,7 +721,7 @@ _RAW_IDW = _IDW_SQL.replace("round(t.value, 6)", "t.value").replace(
     ) + f") select station_id, {_ERRORS} from r group by 1",
 )
 def flagship(d: Inputs) -> DataFrame:
-    out = networks.idw_station_errors(d.a_obs_hour, d.a_distance)
+    out = networks.idw_station_errors(d.a_obs_user, d.a_distance_user)
     return rounded(out, "rmse", "mae", places=5)
 
 
@@ -885,11 +885,11 @@ def _(d: Inputs) -> DataFrame:
 
 @check(
     "skip_seen",
-    "select station_id, ts, round(value, 6) as value from a_obs_hour "
-    "where ts <> (select max(ts) from a_obs_hour where value is null)",
+    "select station_id, ts, round(value, 6) as value from a_obs_user "
+    "where ts <> (select max(ts) from a_obs_user where value is null)",
 )
 def _(d: Inputs) -> DataFrame:
-    rest = ingest.skip_seen(d.a_obs_hour, d.a_obs_hour.where("value is null"))
+    rest = ingest.skip_seen(d.a_obs_user, d.a_obs_user.where("value is null"))
     return rounded(rest.select("station_id", "ts", "value"), "value")
 
 
@@ -981,8 +981,8 @@ def _(d: Inputs) -> DataFrame:
 
 @check(
     "pending_times",
-    "select distinct ts from a_obs_hour where ts not in "
-    "(select ts from a_obs_hour where value is null)",
+    "select distinct ts from a_obs_user where ts not in "
+    "(select ts from a_obs_user where value is null)",
 )
 def _(d: Inputs) -> DataFrame:
-    return pending_times(d.a_obs_hour, d.a_obs_hour.where("value is null"))
+    return pending_times(d.a_obs_user, d.a_obs_user.where("value is null"))

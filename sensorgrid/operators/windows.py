@@ -106,7 +106,7 @@ def row_window(
     value_col: str = "value",
     k: int = 3,
     extra_order: Sequence[str] = (),
-    chunk_hours: float = 24,
+    chunk_hours: float = 1,
     rows_per_block: int = _ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add `mean` over the centred `k`-row frame of each station.
