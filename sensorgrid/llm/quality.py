@@ -36,7 +36,7 @@ METRICS = {
     "word_length": (1.5, True),
     "symbol_share": (0.03, False),
     "dup_line_share": (0.4, False),
-    "repeat_share": (0.2, False),
+    "repeat_share": (0.3, False),  # the base rule; a fence is not to be stricter
     "stutter_share": (0.15, False),
     "upper_share": (0.25, False),
     "mark_share": (0.5, False),
