@@ -149,7 +149,8 @@ def _(d: Inputs) -> DataFrame:
     "l.station_id <> o.station_id group by 1, 2, o.value having count(*) >= 10 and count(l.label) > 0",
 )
 def _(d: Inputs) -> DataFrame:
-    found, _ = grid.cross_validate(d.a_obs_day, d.a_eav, settings=_MEAN)
+    tuned = d.a_station.select("station_id", (F.length("station_id") + 1).alias("k"))
+    found, _ = grid.cross_validate(d.a_obs_day, d.a_eav, k_by_station=tuned, settings=_MEAN)
     return rounded(found.select("station_id", "ts", "truth", "prediction"), "truth", "prediction")
 
 
@@ -167,6 +168,45 @@ def _(d: Inputs) -> DataFrame:
     return rounded(found.select("id", "ts", "truth", "prediction"), "truth", "prediction")
 
 
+_SENSOR_DAY = (
+    "select sensor_id, id, channel, cast(date_trunc('day', ts) as timestamp) as ts, "
+    "avg(pm2_5) as value from a_sensor_minute group by 1, 2, 3, 4"
+)
+_AGAINST = (
+    _LABELLED.format(obs="a_obs_day") + "select cast(o.id as varchar) as id, o.ts, "
+    "round(o.value, 6) as truth, t.prediction from ({truth}) o join (select ts, "
+    "round(avg(label), 6) as prediction from lab group by 1 having count(*) >= 10 "
+    "and count(label) > 0) t on t.ts = o.ts"
+)
+
+
+def _against_sensors(d: Inputs, **options) -> DataFrame:
+    readings = d.sql(_SENSOR_DAY).select("sensor_id", "ts", "value")
+    found, _ = grid.validate_against_sensors(
+        d.a_obs_day, d.a_eav, readings, d.a_directory, d.a_eav_sensor, settings=_MEAN, **options
+    )
+    return rounded(found.select("id", "ts", "truth", "prediction"), "truth", "prediction")
+
+
+@check(
+    "validate_against_merged",
+    _AGAINST.format(truth=f"select id, ts, max(value) as value from ({_SENSOR_DAY}) s group by 1, 2"),
+)
+def _(d: Inputs) -> DataFrame:
+    return _against_sensors(d, merge="max")
+
+
+@check(
+    "validate_against_near",
+    _AGAINST.format(
+        truth=f"select s.id, s.ts, s.value from ({_SENSOR_DAY}) s join a_near n on n.id = s.id "
+        "where s.channel <> 'b' and n.distance <= 50"
+    ),
+)
+def _(d: Inputs) -> DataFrame:
+    return _against_sensors(d, exclude="b", near=d.a_near, max_dist=50)
+
+
 @check(
     "kmeans_nearest",
     "select station_id, true as nearest from a_station",

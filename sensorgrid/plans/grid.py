@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorgrid.operators import forest
-from sensorgrid.operators.channels import channel_readings, with_directory
+from sensorgrid.operators.channels import (
+    channel_readings,
+    near_only,
+    select_channel,
+    with_directory,
+)
 from sensorgrid.operators.features import feature_names, keyed, select_features, to_vector
 from sensorgrid.operators.metrics import errors, join_truth, time_errors
 from sensorgrid.operators.models import (
@@ -155,11 +160,49 @@ def validate_against(
     return result, time_errors(result)
 
 
+def sensor_truth(
+    readings: DataFrame,
+    directory: DataFrame,
+    merge: str = "avg",
+    exclude: str | None = None,
+    near: DataFrame | None = None,
+    max_dist: float = 50,
+) -> DataFrame:
+    """(id, ts, value) of a two-channel sensor network to validate against.
+
+    `readings` is (sensor_id, ts, value). With `exclude` one channel is left out and the
+    other is taken as it is; otherwise `merge` ('max', 'min', 'avg', 'a', 'b') makes one
+    value of both. `near` (id, distance) keeps the sensors within `max_dist`.
+    """
+    known = with_directory(readings, directory)
+    if exclude is None:
+        rows = channel_readings(known, merge)
+    else:
+        rows = select_channel(known, exclude=exclude).select("id", "ts", "value")
+    return rows if near is None else near_only(rows, near, max_dist).select("id", "ts", "value")
+
+
+def validate_against_sensors(
+    obs: DataFrame,
+    features: DataFrame,
+    readings: DataFrame,
+    directory: DataFrame,
+    sensor_features: DataFrame,
+    when: str | tuple | None = None,
+    min_support: int = 10,
+    settings: Settings = Settings(),
+    **truth_options,
+) -> tuple[DataFrame, DataFrame]:
+    """`validate_against` a two-channel sensor network; options as in `sensor_truth`."""
+    truth = sensor_truth(readings, directory, **truth_options)
+    return validate_against(obs, features, truth, sensor_features, when, min_support, settings)
+
+
 def cross_validate(
     obs: DataFrame,
     features: DataFrame,
     when: tuple | None = None,
-    k_by_station: Mapping[str, int] | None = None,
+    k_by_station: Mapping[str, int] | DataFrame | None = None,
     min_support: int = 10,
     parallelism: int = 4,
     settings: Settings = Settings(),
@@ -169,7 +212,9 @@ def cross_validate(
     Clusters and features are chosen per fold by Spark ML jobs, a few folds at a time.
     The per-timestamp fits of all folds then run in one pass over the readings: a
     timestamp holds one row per station, and a task fits a block of folds, each on the
-    rows of the other stations with that fold's features.
+    rows of the other stations with that fold's features. `k_by_station`, a mapping or a
+    (station_id, k) table such as `station_clusters` of one parameter, gives the number of
+    clusters per fold; other folds take it from `settings`.
     """
     cleaned = fill_gaps(obs, hours=settings.hours, method=settings.method)
     stations = cleaned.select(F.col("station_id").alias("id")).distinct()
@@ -177,11 +222,11 @@ def cross_validate(
     vectors = to_vector(keyed(features), stations, names).persist()
     panel = series(cleaned).persist()
     try:
-        def fold_features(fold: str) -> tuple[str, list[int]]:
+        def fold_features(fold: str, k: int | None) -> tuple[str, list[int]]:
             chosen = choose_features(
                 panel.where(F.col("station_id") != fold),
                 vectors.where(F.col("id") != fold),
-                names, settings, (k_by_station or {}).get(fold),
+                names, settings, k,
             ).select("feature")
             kept = names.join(chosen, "feature").orderBy("index").select("index").collect()
             return fold, [r["index"] for r in kept]
@@ -189,10 +234,14 @@ def cross_validate(
         # the chosen features of a page of folds are written before the next page starts
         spark, folder = obs.sparkSession, shared_dir(obs.sparkSession, "fold-features")
         schema, n_folds = "id string, mask array<int>", 0
-        found = stations.orderBy("id").toLocalIterator()
+        if k_by_station is None or isinstance(k_by_station, Mapping):
+            pairs = list((k_by_station or {}).items())
+            k_by_station = spark.createDataFrame(pairs, "station_id string, k int")
+        tuned = k_by_station.select(F.col("station_id").alias("id"), "k")
+        found = stations.join(tuned, "id", "left").orderBy("id").toLocalIterator()
         with ThreadPoolExecutor(parallelism) as pool:
-            while page := [r.id for r in itertools.islice(found, _FOLDS_PER_PAGE)]:
-                masks = list(pool.map(fold_features, page))
+            while page := [(r.id, r.k) for r in itertools.islice(found, _FOLDS_PER_PAGE)]:
+                masks = list(pool.map(fold_features, *zip(*page, strict=True)))
                 spark.createDataFrame(masks, schema).write.mode("append").parquet(folder)
                 n_folds += len(page)
     finally:
