@@ -23,8 +23,8 @@ _MODEL_FIELDS = (
     "feature array<int>, threshold array<double>, lower array<int>, upper array<int>, "
     "value array<double>, root array<int>, share array<double>"
 )
-#: partitions of the station rows that a model is fitted on
-FIT_PARTITIONS = 16
+#: partitions of the station rows that a model is fitted on; raise it for large networks
+FIT_PARTITIONS = 4
 _MODEL_COLUMNS = ("feature", "threshold", "lower", "upper", "value", "root", "share")
 
 # Tuned number of clusters per held-out station, by parameter (hourly).
@@ -60,14 +60,14 @@ def station_clusters(spark: SparkSession) -> DataFrame:
 
 def cluster(
     series: DataFrame, k: int, seed: int = 1, max_iter: int = 100, col: str = "series",
-    id_col: str = "station_id",
+    id_col: str = "station_id", partitions: int = FIT_PARTITIONS,
 ) -> tuple[DataFrame, float]:
     """(rows with `cluster`, within-set squared error) of k-means on the scaled series. Fits.
 
     The scaled rows stay cached: the fit passes over them many times, and the result
     reads them again.
     """
-    scaled = as_scaled_vector(packed(series, id_col), col).persist()
+    scaled = as_scaled_vector(packed(series, id_col, partitions), col).persist()
     model = KMeans(
         k=k, maxIter=max_iter, seed=seed, featuresCol="scaled", predictionCol="cluster"
     ).fit(scaled)
@@ -112,6 +112,7 @@ def importance(
     seed: int = 1,
     id_col: str = "id",
     cluster_id: str = "station_id",
+    partitions: int = FIT_PARTITIONS,
 ) -> DataFrame:
     """(index, feature, importance): how well each feature tells the clusters apart. Fits."""
     labelled = vectors.join(
@@ -119,7 +120,7 @@ def importance(
     )
     kept = labelled.persist()
     try:
-        scaled = as_scaled_vector(packed(kept, id_col), "features")
+        scaled = as_scaled_vector(packed(kept, id_col, partitions), "features")
         model = RandomForestClassifier(
             numTrees=n_trees, maxDepth=max_depth, seed=seed,
             featuresCol="scaled", labelCol="cluster",

@@ -22,6 +22,7 @@ from sensorgrid.operators.channels import (
 from sensorgrid.operators.features import feature_names, keyed, select_features, to_vector
 from sensorgrid.operators.metrics import errors, join_truth, time_errors
 from sensorgrid.operators.models import (
+    FIT_PARTITIONS,
     cluster,
     importance,
     predict,
@@ -53,6 +54,7 @@ class Settings:
     min_keep: int = 0
     factor: float = 1.8
     seed: int = 1
+    fit_partitions: int = FIT_PARTITIONS
 
 
 def choose_features(
@@ -60,10 +62,12 @@ def choose_features(
     k: int | None = None,
 ) -> DataFrame:
     """(feature, index) of the features that tell the clusters of the series apart. Fits."""
-    clusters, _ = cluster(series_df, k or settings.k, settings.seed)
+    clusters, _ = cluster(
+        series_df, k or settings.k, settings.seed, partitions=settings.fit_partitions
+    )
     rows = importance(
         vectors, clusters, names, settings.importance_trees, settings.importance_depth,
-        settings.seed,
+        settings.seed, partitions=settings.fit_partitions,
     )
     chosen = select_features(
         rows, settings.rule, settings.frac, settings.min_keep, settings.factor
