@@ -50,6 +50,19 @@ def blocks(text: str, limit: int = _BLOCK_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+class _Index(dict):
+    """Number of each word; an unknown word gets the next number and is listed in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTokens:
     """Token ids of texts, tokenising each distinct word once.
 
@@ -66,74 +79,80 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.chars = 0
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.ends = np.zeros(1, dtype=np.int64)
-
-    def _learn(self, words: set[str]) -> None:
-        """Keep the ids of new words."""
-        stems = {w: w[:-1] for w in words if w[-1:] in _ENDS and w[-2:-1].lower().isalpha()}
-        self._tokenise(sorted({*words.difference(stems), *stems.values(), *_ENDS}
-                              .difference(self.index)))
-        first, lengths, tails = [], [], []
-        for word, stem in stems.items():
-            i = self.index[stem]
-            first.append(self.ends[i])
-            lengths.append(self.ends[i + 1] - self.ends[i])
-            tails.append(self.index[word[-1]])
-        if stems:
-            first, lengths = np.array(first), np.array(lengths)
-            ends = np.cumsum(lengths)
-            body = self.flat[np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1])]
-            # the mark's single id goes behind each stem
-            flat = np.insert(body, ends, self.flat[self.ends[np.array(tails)]])
-            self._keep(list(stems), lengths + 1, flat)
-
-    def _keep(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
-        self.index.update(zip(words, itertools.count(len(self.index))))
-        self.chars += sum(map(len, words))
+        self.index, self.chars = _Index(), 0
+        self.flat = np.empty(0, dtype=np.uint32)  # ids of all words
+        self.first = np.empty(0, dtype=np.int64)  # place of a word's ids, and their number
+        self.count = np.empty(0, dtype=np.int64)
+
+    def _learn(self) -> None:
+        """Find the ids of the words that are new in the index."""
+        new, index, known = self.index.new, self.index, len(self.first)
+        ended = [
+            (index[w], index[w[:-1]], index[w[-1]])
+            for w in new  # grows by the stems and marks
+            if w[-1:] in _ENDS and w[-2:-1].lower().isalpha()
+        ]
+        index.new = []
+        self.chars += sum(map(len, new))
+        whole = np.ones(len(new), bool)
+        word, stem, mark = np.array(ended, dtype=np.int64).reshape(-1, 3).T
+        whole[word - known] = False
+        lengths, flat = self._tokenise([w for w, is_whole in zip(new, whole.tolist()) if is_whole])
+        first, count = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        count[whole] = lengths
+        first[whole] = len(self.flat) + np.cumsum(lengths) - lengths
         self.flat = np.concatenate([self.flat, flat])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.first = np.concatenate([self.first, first])
+        self.count = np.concatenate([self.count, count])
+        if len(word):  # the ids of the stem, and the one of the mark
+            lengths = self.count[stem]
+            ends = np.cumsum(lengths)
+            flat = np.insert(self._ids(stem), ends, self.flat[self.first[mark]])
+            self.count[word] = lengths + 1
+            self.first[word] = len(self.flat) + ends - lengths + np.arange(len(word))
+            self.flat = np.concatenate([self.flat, flat])
 
-    def _tokenise(self, words: list[str]) -> None:
-        """Many words at a time, with a mark between."""
+    def _tokenise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and the ids; many words at a time, with a mark between."""
         alone = [w for w in words if _MARK in w]
-        words = [w for w in words if _MARK not in w] if alone else words
-        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in alone]
-        lengths = [np.array(list(map(len, found)), dtype=np.int64)]
-        flat = [np.array([i for ids in found for i in ids], dtype=np.uint32)]
+        if alone:
+            found = [
+                self.tokenizer.encode(w, add_special_tokens=False).ids for w in words
+            ]
+            return (
+                np.array(list(map(len, found)), dtype=np.int64),
+                np.array([i for ids in found for i in ids], dtype=np.uint32),
+            )
+        lengths, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         lines = [
             _BETWEEN.join(words[at:at + _TOGETHER]) for at in range(0, len(words), _TOGETHER)
         ]
         for line in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
             ids = np.array(line.ids, dtype=np.uint32)
             marks = np.flatnonzero(ids == self.mark)
-            ends = np.append(marks, len(ids))
-            lengths.append(np.diff(ends, prepend=-1) - 1)
+            lengths.append(np.diff(np.append(marks, len(ids)), prepend=-1) - 1)
             flat.append(np.delete(ids, marks))
-        self._keep([*alone, *words], np.concatenate(lengths), np.concatenate(flat))
+        return np.concatenate(lengths), np.concatenate(flat)
+
+    def _ids(self, words: np.ndarray) -> np.ndarray:
+        """The ids of words, given by number, one after another."""
+        count = self.count[words]
+        ends = np.cumsum(count)
+        shift = np.repeat(self.first[words] - ends + count, count)
+        shift += np.arange(len(shift))
+        return self.flat[shift]
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        # a final sigma is lowered by its place in the word: leave it to the tokenizer
-        split = [
-            (text if "\u03a3" in text else text.lower()).replace("\n", " ").split(" ")
-            for text in texts
-        ]
-        words: set[str] = set()
-        for own in split:
-            words.update(own)
         if self.chars > _CACHED_CHARS:
             self._clear()
-        if new := words.difference(self.index):
-            self._learn(new)
-        out = []
-        for own in split:
-            at = np.fromiter(map(self.index.__getitem__, own), dtype=np.int64, count=len(own))
-            first, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-            shift = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-            out.append(self.flat[shift + np.arange(len(shift))])
-        return out
+        number, found = self.index.__getitem__, []
+        for text in texts:
+            # a final sigma is lowered by its place in the word: leave it to the tokenizer
+            lower = text if "\u03a3" in text else text.lower()
+            words = lower.replace("\n", " ").split(" ")
+            found.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
+        self._learn()
+        return [self._ids(words) for words in found]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
