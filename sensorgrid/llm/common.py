@@ -37,7 +37,11 @@ def text_of(name: str = "text") -> Column:
 
 
 def numbered(frame: DataFrame, name: str) -> DataFrame:
-    """A unique long per row: write partition and place in it. Stable only behind `cut`."""
+    """A unique long per row: partition and place in it.
+
+    Stable behind `cut`, and where `frame` is a plain scan of files, as between two stages:
+    the scan is laid out alike whenever it is read, also by another executor.
+    """
     return frame.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -136,10 +136,11 @@ def mix_sources(
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them, whole documents only."""
-    rows = cut(
-        numbered(docs.select(F.struct("*").alias("row")), "row_no"), "mix-documents"
-    )
+    """The rows of `docs` as often as the mix takes them, whole documents only.
+
+    `docs` is a plain scan (see `numbered`): it is read twice, not written.
+    """
+    rows = numbered(docs.select(F.struct("*").alias("row")), "row_no")
     plan = mix_sources(
         rows.select(
             "row_no", F.col("row.text").alias("text"), F.col("row.source").alias("source")

@@ -107,7 +107,7 @@ def _key(name: str) -> Column:
 def measure(
     docs: DataFrame, text: str, id_col: str, lang: str, source: str, carry_rows: bool
 ) -> DataFrame:
-    """Counts, metrics and `base_failed` of every document, written to the shared folder."""
+    """Counts, metrics and `base_failed` of every document."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), _key(lang).alias("lang_key"),
         _key(source).alias("source_key"), text_of(text).alias("whole"),
@@ -121,7 +121,7 @@ def measure(
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > 30 * F.col("n_words")
     )
-    return cut(rows.mapInArrow(_measure, schema).withColumn("base_failed", failed), "quality")
+    return rows.mapInArrow(_measure, schema).withColumn("base_failed", failed)
 
 
 def quantile_sketches(measured: DataFrame) -> DataFrame:
@@ -209,7 +209,11 @@ def judge(
     repeated rows are judged each for themselves. No documents: no rows.
     """
     measured = measure(docs, text, id_col, lang, source, carry_rows)
-    bounds = fences(cut(quantile_sketches(measured), "quality-sketches"))
+    if carry_rows:  # measured twice rather than written with the whole rows
+        sketched = measure(docs, text, id_col, lang, source, False)
+    else:
+        sketched = measured = cut(measured, "quality")
+    bounds = fences(cut(quantile_sketches(sketched), "quality-sketches"))
     broken = F.array_compact(F.array(*[
         F.when(
             (F.col(m) > F.col(f"high_{m}"))

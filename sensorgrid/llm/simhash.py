@@ -286,17 +286,14 @@ def find_near_copies(
 def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The row of the smallest id of each group, with all its columns.
 
-    A null id counts as the largest; of several rows with that id the first in the written
-    table stays.
+    A null id counts as the largest; of several rows with that id the first in the table
+    stays. `docs` is a plain scan (see `numbered`): it is read twice, not written.
     """
-    rows = cut(
-        numbered(
-            with_fingerprints(docs.select(F.struct("*").alias("row")), text_of(f"row.{text}")),
-            "row_no",
-        ),
-        "simhash-documents",
+    rows = numbered(docs.select(F.struct("*").alias("row")), "row_no")
+    narrow = rows.select(
+        "row_no", F.col(f"row.{id_col}").alias("id"), text_of(f"row.{text}").alias("whole")
     )
-    keyed = rows.select("fp", "row_no", F.col(f"row.{id_col}").alias("id"))
+    keyed = cut(with_fingerprints(narrow, F.col("whole")).drop("whole"), "simhash-rows")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no"))
     by_fp = keyed.groupBy("fp").agg(best.alias("best"))
     stay = (
