@@ -27,6 +27,4 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, name):
-    if name in ("predict_grid_keys", "cross_validate_truth"):
-        pytest.skip("covered at a larger size by checks.verify")
     assert compare(spark, name, SF)[0] == "ok"
