@@ -9,8 +9,10 @@ finds the tightest window that is open and has room. Memory of a task: its open
 from __future__ import annotations
 
 import itertools
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,21 @@ def blocks(text: str, limit: int = _BLOCK_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def lowered(text: str) -> str:
+    """`text` lowered where that is sure to leave its ids alone, else as it is.
+
+    The tokenizer looks for its added tokens, composes, then lowers. Lowering first would
+    make added tokens of their capitals, and letters that compose only when small; a final
+    sigma is lowered by its place in the word.
+    """
+    lower = text.lower()
+    if lower == text or not ("<|" in text or "\u03a3" in text) and all(
+        map(partial(unicodedata.is_normalized, "NFC"), (text, lower))
+    ):
+        return lower
+    return text
+
+
 class _Index(dict):
     """Number of each word; an unknown word gets the next number and is listed in `new`."""
 
@@ -147,9 +164,7 @@ class WordTokens:
             self._clear()
         number, found = self.index.__getitem__, []
         for text in texts:
-            # a final sigma is lowered by its place in the word: leave it to the tokenizer
-            lower = text if "\u03a3" in text else text.lower()
-            words = lower.replace("\n", " ").split(" ")
+            words = lowered(text).replace("\n", " ").split(" ")
             found.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
         self._learn()
         return [self._ids(words) for words in found]
