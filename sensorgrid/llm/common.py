@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ BATCH_ROWS = 2000
 #: White space that separates words, as a Java or Python character class.
 SPACE = r"\x20\x09-\x0D"
 _ROW_BITS = 33
+#: Columns that tell the rows of `located` apart.
+PLACE = ["file", "pos"]
 
 
 def prepare(spark) -> None:
@@ -37,12 +40,27 @@ def text_of(name: str = "text") -> Column:
 
 
 def numbered(frame: DataFrame, name: str) -> DataFrame:
-    """A unique long per row: partition and place in it.
+    """A unique long per row: partition and place in it. Stable only behind `cut`."""
+    return frame.withColumn(name, F.monotonically_increasing_id())
+
 
-    Stable behind `cut`, and where `frame` is a plain scan of files, as between two stages:
-    the scan is laid out alike whenever it is read, also by another executor.
+def located(frame: DataFrame) -> DataFrame:
+    """(row, file, pos): each row as a struct, its file, and its position in that file.
+
+    However a scan is split, a row keeps its place, so two jobs may read `frame` and be
+    joined on PLACE. What is no scan of Parquet files is written first.
     """
-    return frame.withColumn(name, F.monotonically_increasing_id())
+    def places(scan: DataFrame) -> DataFrame:
+        own = scan.metadataColumn("_metadata")
+        return scan.select(
+            F.struct("*").alias("row"),
+            own["file_path"].alias("file"), own["row_index"].alias("pos"),
+        )
+
+    try:
+        return places(frame)
+    except AnalysisException:
+        return places(cut(frame, "located"))
 
 
 def part_of(name: str) -> Column:

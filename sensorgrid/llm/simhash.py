@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from sensorgrid.llm.common import cut, numbered, text_of
+from sensorgrid.llm import minhash
+from sensorgrid.llm.common import PLACE, cut, located, numbered, text_of
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -286,18 +287,28 @@ def find_near_copies(
 def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The row of the smallest id of each group, with all its columns.
 
-    A null id counts as the largest; of several rows with that id the first in the table
-    stays. `docs` is a plain scan (see `numbered`): it is read twice, not written.
+    Rows are linked from a Jaccard similarity of 0.8 of their five-word shingles (see
+    `minhash`), whatever their fingerprints. A null id counts as the largest; of several rows
+    with that id the first in the table stays. A scan of files is read again, not written.
     """
-    rows = numbered(docs.select(F.struct("*").alias("row")), "row_no")
-    narrow = rows.select(
-        "row_no", F.col(f"row.{id_col}").alias("id"), text_of(f"row.{text}").alias("whole")
+    rows = located(docs)
+    narrow = rows.select(*PLACE, F.col(f"row.{id_col}").alias("id"), text_of(f"row.{text}").alias("whole"))
+    keyed = cut(numbered(minhash.with_bands(narrow, "whole"), "row_no"), "near-rows")
+    crowd = cut(minhash.crowds(keyed), "near-crowds")
+    wanted = keyed.select("row_no", *PLACE).join(crowd.select("row_no").distinct(), "row_no")
+    texts = cut(
+        narrow.join(wanted, PLACE).select("row_no", F.encode("whole", "UTF-8").alias("bytes")),
+        "near-texts",
     )
-    keyed = cut(with_fingerprints(narrow, F.col("whole")).drop("whole"), "simhash-rows")
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no"))
-    by_fp = keyed.groupBy("fp").agg(best.alias("best"))
+    tried = cut(minhash.first_pairs(crowd), "near-pairs")
+    roots = components(minhash.confirmed(tried, texts))
+    others = minhash.other_pairs(crowd, roots).join(tried, ["a", "b"], "left_anti")
+    links = minhash.confirmed(others, texts)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no", *PLACE))
     stay = (
-        by_fp.join(fingerprint_groups(keyed), "fp").groupBy("root")
-        .agg(F.min("best").alias("best")).select("best.row_no")
+        keyed.drop("bands").join(roots.withColumnRenamed("node", "row_no"), "row_no", "left")
+        .groupBy(F.coalesce("root", "row_no").alias("root")).agg(best.alias("best"))
+        .select("best.file", "best.pos")
     )
-    return rows.join(stay, "row_no", "left_semi").select("row.*")
+    return rows.join(stay, PLACE, "left_semi").select("row.*")
