@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorgrid.llm.common import SPACE, cut, numbered, part_of, place_of, text_of
+from sensorgrid.llm.common import (
+    PLACE, SPACE, cut, located, numbered, part_of, place_of, text_of,
+)
 
 WEIGHTS = (5, 2, 1)
 _RANGE_BITS = 10
@@ -78,6 +80,7 @@ def mix_sources(
     source: str = "source",
     seed: int = 9,
     whole_documents: bool = False,
+    place: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken and times.
 
@@ -86,16 +89,18 @@ def mix_sources(
     is taken when the budget is rounded to the nearer document. With `whole_documents`,
     taken is times * size. Keys depend on content only, so another layout of the input gives
     the same mix; equal rows share their key and follow each other. A null text has no
-    words, a null source is a source of its own. No documents: no rows.
+    words, a null source is a source of its own. No documents: no rows. Columns of `place`
+    tell rows apart and are kept; they order equal rows and do not enter the keys.
     """
     rows = docs.select(
+        *place,
         F.col(id_col).alias("doc_id"),
         F.col(source).isNull().alias("no_source"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"),
         word_count(text_of(text)).alias("size"),
     )
     groups = cut(
-        rows.groupBy("doc_id", "no_source", "name", "size").agg(F.count("*").alias("repeats")),
+        rows.groupBy(*place, "doc_id", "no_source", "name", "size").agg(F.count("*").alias("repeats")),
         "mix-rows",
     ).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "name", "size"))
     groups = groups.withColumn("range", F.shiftrightunsigned("key", 64 - _RANGE_BITS))
@@ -110,7 +115,7 @@ def mix_sources(
     offsets = sums.select(
         *of_source, "range", F.coalesce(F.sum("held").over(ranges), F.lit(0)).alias("offset")
     )
-    inside = Window.partitionBy(*of_source, "range").orderBy("key", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy(*of_source, "range").orderBy("key", "doc_id", "size", *place).rowsBetween(
         Window.unboundedPreceding, -1
     )
     placed = (
@@ -131,22 +136,23 @@ def mix_sources(
     times = F.col("epochs") + nearer
     taken = times * F.col("size") if whole_documents else F.col("epochs") * F.col("size") + part
     return placed.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"), times.alias("times")
+        *place, "doc_id", "size", "source_size", "target", taken.alias("taken"), times.alias("times")
     )
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, whole documents only.
 
-    `docs` is a plain scan (see `numbered`): it is read twice, not written.
+    A scan of files is read twice, not written (see `located`).
     """
-    rows = numbered(docs.select(F.struct("*").alias("row")), "row_no")
+    rows = located(docs)
     plan = mix_sources(
         rows.select(
-            "row_no", F.col("row.text").alias("text"), F.col("row.source").alias("source")
+            *PLACE, F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"),
+            F.col("row.source").alias("source"),
         ),
-        id_col="row_no", **options,
-    ).where("times > 0").select(F.col("doc_id").alias("row_no"), "times")
-    return rows.join(plan, "row_no").select(
+        place=tuple(PLACE), **options,
+    ).where("times > 0").select(*PLACE, "times")
+    return rows.join(plan, PLACE).select(
         "row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_time")
     ).drop("_time")
