@@ -4,12 +4,12 @@ One pass measures every text. Fixed base rules come first; what passes them is h
 fences taken from quantile sketches of its own (language, source). A sketch counts values in
 buckets of constant relative width (1 %), so sketches merge by adding counts, in any order,
 with the same result: they are plain grouped counts that combine before the shuffle, and a
-source with a third of all rows is a few hundred counts per task. A group with few documents
-uses its language's sketch, a language with few the sketch of all.
+source with a third of all rows is a few hundred counts per task.
 
-A fence is the median plus `spread` times the distance from the first quartile to the
-median, at least `margin` away from the median: the lower half of a group is clean as long
-as less than half of it is junk.
+A fence lies `spread` half-spreads (median to quartile) and a small floor beyond the quartile.
+It moves on to the next quantile of UPPER as long as that quantile lies within the fence: a
+tail that goes on evenly is the habit of the group, a tail behind a gap is not. A group with few
+documents uses its language's sketch, a language with few the sketch of all.
 """
 
 from __future__ import annotations
@@ -31,17 +31,18 @@ _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
 _WINDOW = 8
 MIN_WORDS = 20
-#: metric: (margin, fence below too)
+#: metric: (floor of the distance from quantile to fence, fence below too)
 METRICS = {
-    "word_length": (1.5, True),
+    "word_length": (0.5, True),
     "symbol_share": (0.03, False),
-    "dup_line_share": (0.4, False),
-    "repeat_share": (0.3, False),  # the base rule; a fence is not to be stricter
-    "stutter_share": (0.15, False),
-    "upper_share": (0.25, False),
-    "mark_share": (0.5, False),
+    "dup_line_share": (0.1, False),
+    "stutter_share": (0.05, False),
+    "upper_share": (0.05, False),
+    "mark_share": (0.05, False),
 }
-SPREAD = 8.0
+SPREAD = 4.0
+#: further quantiles above the third quartile; below the first they are mirrored
+UPPER = (0.9, 0.95, 0.98, 0.99)
 MIN_ROWS = 100
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _GAMMA = 1.01 / 0.99
@@ -69,7 +70,7 @@ def repeated_words(words: list[str], window: int = _WINDOW) -> int:
 
 
 def measure_text(text: str) -> tuple:
-    """The five counts of the base rules and the seven metrics, in the order of METRICS."""
+    """The five counts of the base rules and the six metrics, in the order of METRICS."""
     words = _WORD.findall(text)
     n = len(words)
     chars = sum(map(len, words))
@@ -84,7 +85,7 @@ def measure_text(text: str) -> tuple:
     n_or_1 = max(n, 1)
     return (
         n, chars, symbols, dup, repeats,
-        chars / n_or_1, symbols / max(chars, 1), dup / max(n_lines, 1), repeats / n_or_1,
+        chars / n_or_1, symbols / max(chars, 1), dup / max(n_lines, 1),
         stutter / n_or_1, upper / n_or_1, marks / n_or_1,
     )
 
@@ -141,7 +142,7 @@ def quantile_sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Rows, first quartile and median per group and metric, merging finer sketches."""
+    """Rows, quartiles and outer quantiles per group and metric, merging finer sketches."""
     merged = sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     up_to = group.orderBy(F.asc_nulls_first("bucket")).rowsBetween(Window.unboundedPreceding, 0)
@@ -156,40 +157,54 @@ def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
         return F.min(F.when(F.col("up_to") >= share * F.col("rows"), middle))
 
     return counted.groupBy(*by, "metric").agg(
-        F.first("rows").alias("rows"), at(0.25).alias("q1"), at(0.5).alias("q2")
+        F.first("rows").alias("rows"), at(0.25).alias("q1"), at(0.5).alias("q2"),
+        at(0.75).alias("q3"),
+        *[at(u).alias(f"above_{i}") for i, u in enumerate(UPPER)],
+        *[at(1 - u).alias(f"below_{i}") for i, u in enumerate(UPPER)],
     )
 
 
+def _own_fences(found: DataFrame, by: list[str], spread: float) -> DataFrame:
+    """rows, high and low per group and metric, from its own quantiles."""
+    floor = F.lit(0.0)
+    for metric, (least, _) in METRICS.items():
+        floor = F.when(F.col("metric") == metric, F.lit(least)).otherwise(floor)
+    up = F.lit(spread) * (F.col("q3") - F.col("q2")) + floor
+    down = F.lit(spread) * (F.col("q2") - F.col("q1")) + floor
+    high, low = F.col("q3") + up, F.col("q1") - down
+    for i in range(len(UPPER)):
+        above, below = F.col(f"above_{i}"), F.col(f"below_{i}")
+        high = F.when(above <= high, above + up).otherwise(high)
+        low = F.when(below >= low, below - down).otherwise(low)
+    return found.select(*by, "metric", "rows", high.alias("high"), low.alias("low"))
+
+
 def fences(sketches: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per (language, source) with `low` and `high`, maps from metric to its fence."""
-    own = quantiles(sketches, ["lang_key", "source_key"])
-    wide = quantiles(sketches, ["lang_key"]).select(
-        "lang_key", "metric",
-        *[F.col(c).alias(f"lang_{c}") for c in ("rows", "q1", "q2")],
+    """One row per (language, source) with `high_` and `low_` and the metric's name."""
+    def of(*by: str) -> DataFrame:
+        return _own_fences(quantiles(sketches, list(by)), list(by), spread)
+
+    wide = of("lang_key").select(
+        "lang_key", "metric", *[F.col(c).alias(f"lang_{c}") for c in ("rows", "high", "low")]
     )
-    every = {r["metric"]: r for r in quantiles(sketches, []).collect()}  # one row per metric
+    every = {r["metric"]: r for r in of().collect()}  # one row per metric
 
-    def pick(name: str) -> Column:
-        overall = F.lit(0.0)
+    def blend(name: str) -> Column:
+        fence = F.lit(0.0)
         for metric, row in every.items():
-            overall = F.when(F.col("metric") == metric, F.lit(row[name])).otherwise(overall)
+            fence = F.when(F.col("metric") == metric, F.lit(row[name])).otherwise(fence)
         return (
             F.when(F.col("rows") >= min_rows, F.col(name))
             .when(F.col("lang_rows") >= min_rows, F.col(f"lang_{name}"))
-            .otherwise(overall)
+            .otherwise(fence)
         )
 
-    margin = F.lit(0.0)
-    for metric, (least, _) in METRICS.items():
-        margin = F.when(F.col("metric") == metric, F.lit(least)).otherwise(margin)
-    reach = F.greatest(margin, F.lit(spread) * (F.col("q2") - F.col("q1")))
-    picked = own.join(wide, ["lang_key", "metric"]).select(
-        "lang_key", "source_key", "metric", pick("q1").alias("q1"), pick("q2").alias("q2")
+    picked = of("lang_key", "source_key").join(wide, ["lang_key", "metric"]).select(
+        "lang_key", "source_key", "metric", blend("high").alias("high"), blend("low").alias("low")
     )
     return picked.groupBy("lang_key", "source_key").agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("q2") + reach)).alias(f"high_{m}")
-          for m in METRICS],
-        *[F.max(F.when(F.col("metric") == m, F.col("q2") - reach)).alias(f"low_{m}")
+        *[F.max(F.when(F.col("metric") == m, F.col("high"))).alias(f"high_{m}") for m in METRICS],
+        *[F.max(F.when(F.col("metric") == m, F.col("low"))).alias(f"low_{m}")
           for m, (_, below) in METRICS.items() if below],
     )
 
