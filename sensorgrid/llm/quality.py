@@ -8,8 +8,9 @@ source with a third of all rows is a few hundred counts per task.
 
 A fence lies `spread` half-spreads (median to quartile) and a small floor beyond the quartile.
 It moves on to the next quantile of UPPER as long as that quantile lies within the fence: a
-tail that goes on evenly is the habit of the group, a tail behind a gap is not. A group with few
-documents uses its language's sketch, a language with few the sketch of all.
+tail that goes on evenly is the habit of the group, a tail behind a gap is not. The fence of
+a (language, source) is averaged with its language's, and that with the fence of all, by
+weights rows : `prior` that change smoothly with the rows.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ METRICS = {
 SPREAD = 4.0
 #: further quantiles above the third quartile; below the first they are mirrored
 UPPER = (0.9, 0.95, 0.98, 0.99)
-MIN_ROWS = 100
+#: rows for which the own fence and the wider one count the same
+PRIOR = 20
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _GAMMA = 1.01 / 0.99
 _SMALL = 1e-6
@@ -179,7 +181,7 @@ def _own_fences(found: DataFrame, by: list[str], spread: float) -> DataFrame:
     return found.select(*by, "metric", "rows", high.alias("high"), low.alias("low"))
 
 
-def fences(sketches: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
+def fences(sketches: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
     """One row per (language, source) with `high_` and `low_` and the metric's name."""
     def of(*by: str) -> DataFrame:
         return _own_fences(quantiles(sketches, list(by)), list(by), spread)
@@ -193,11 +195,10 @@ def fences(sketches: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS
         fence = F.lit(0.0)
         for metric, row in every.items():
             fence = F.when(F.col("metric") == metric, F.lit(row[name])).otherwise(fence)
-        return (
-            F.when(F.col("rows") >= min_rows, F.col(name))
-            .when(F.col("lang_rows") >= min_rows, F.col(f"lang_{name}"))
-            .otherwise(fence)
-        )
+        for level in ("lang_", ""):
+            own = F.col(f"{level}rows") / (F.col(f"{level}rows") + F.lit(float(prior)))
+            fence = own * F.col(f"{level}{name}") + (1 - own) * fence
+        return fence
 
     picked = of("lang_key", "source_key").join(wide, ["lang_key", "metric"]).select(
         "lang_key", "source_key", "metric", blend("high").alias("high"), blend("low").alias("low")

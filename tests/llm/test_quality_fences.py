@@ -1,4 +1,4 @@
-"""Fences that the data set."""
+"""Fences that the data set, and that move smoothly with the rows of a source."""
 
 import random
 
@@ -36,3 +36,18 @@ def test_an_even_tail_is_kept(spark):
     draw = random.Random(2)
     texts = [("prose", text(draw, caps=0.3 * i / 300)) for i in range(300)]
     assert kept_of(spark, texts).mean() > 0.99
+
+
+def test_no_step_in_the_rows_of_a_source(spark):
+    high = []
+    for n in (60, 99, 100):
+        draw = random.Random(3)
+        texts = [("prose", text(draw)) for _ in range(400)]
+        texts += [("tables", text(draw, mark="|" if i % 3 else "||")) for i in range(n)]
+        assert kept_of(spark, texts)[400:].all()
+        rows = [(i, t, "en", source, 0, 0, "") for i, (source, t) in enumerate(texts)]
+        measured = quality.measure(
+            spark.createDataFrame(rows, SCHEMA), "text", "doc_id", "lang", "source", False)
+        bounds = quality.fences(quality.quantile_sketches(measured)).collect()
+        high += [b.high_symbol_share for b in bounds if b.source_key == "=tables"]
+    assert abs(high[2] - high[1]) < 0.01 * high[1] and min(high) > 0.2
