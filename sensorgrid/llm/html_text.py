@@ -4,7 +4,9 @@ A page streams through the standard library's parser. Its events make lines: a b
 starts a new line, inline elements do not. Each line has its text, its tags and the elements
 it stands in. The text-to-tag ratios of all lines are smoothed with a Gaussian, and the lines
 above a threshold (a share of their standard deviation, between the two clusters of menu-like
-and text-like lines) are content. Structure refines this: text inside scripts, menus, headers,
+and text-like lines) are content. Class words that name what is not content silence an element
+only if it holds no main element and less than two thirds of the page's unlinked text, so
+that a wrapper leaves its lines to the ratios. Structure refines this: text inside scripts, menus, headers,
 footers, sidebars, forms and the like counts as none, and an article or main element that
 holds a content line is one region, so that its short lines stay. Lines outside such regions
 stay only on pages without one. Memory: one page and its lines.
@@ -13,6 +15,7 @@ stay only on pages without one. Memory: one page and its lines.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -58,6 +61,8 @@ _REPLY = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I
 _SPACES = re.compile(r"\s+")
 _SIGMA = 1.0
 _SHARE = 0.5
+#: share of a page's unlinked text from which a named element is a wrapper
+_WRAPPER = 2 / 3
 
 
 @dataclass
@@ -68,6 +73,19 @@ class Line:
     tags: int = 0
     links: int = 0
     region: int = 0
+    #: of each part the elements around it whose class words name no content, and link characters
+    around: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+
+    def add(self, text: str, named: tuple[int, ...] = (), links: int = 0) -> None:
+        self.parts.append(text)
+        self.around.append((named, links))
+
+    def silence(self, quiet: set[int]) -> None:
+        """Leave out the parts inside elements of `quiet`."""
+        kept = [i for i, (named, _) in enumerate(self.around) if quiet.isdisjoint(named)]
+        self.parts = [self.parts[i] for i in kept]
+        self.around = [self.around[i] for i in kept]
+        self.links = sum(links for _, links in self.around)
 
     @property
     def text(self) -> str:
@@ -80,8 +98,10 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = [Line()]
-        self.open: list[tuple[str, bool, int]] = []  # name, silent, region
-        self.regions = 0
+        # name, silent, region, named
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []
+        self.regions = self.named = 0
+        self.wrappers: set[int] = set()  # named elements that hold a main element
 
     def parse_html_declaration(self, i: int) -> int:
         try:
@@ -89,8 +109,8 @@ class _Lines(HTMLParser):
         except AssertionError:  # the parser gives up on unknown marked sections
             return self.parse_bogus_comment(i)
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[bool, int, tuple[int, ...]]:
+        return self.open[-1][1:] if self.open else (False, 0, ())
 
     def _new_line(self) -> None:
         if self.lines[-1].parts or self.lines[-1].tags:
@@ -113,23 +133,28 @@ class _Lines(HTMLParser):
         if tag in _BLOCKS:
             self._new_line()
         elif tag == "br":
-            self.lines[-1].parts.append(" ")
+            self.lines[-1].add(" ")
         self.lines[-1].tags += 1
         if tag in _VOID:
             return
-        silent, region = self._state()
-        named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style")}
-        words = " ".join(named.get(k, "") for k in ("class", "id", "role"))
-        hidden = "hidden" in named or "display:none" in named.get("style", "").replace(" ", "")
+        silent, region, around = self._state()
+        given = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style")}
+        words = " ".join(given.get(k, "") for k in ("class", "id", "role"))
+        hidden = "hidden" in given or "display:none" in given.get("style", "").replace(" ", "")
         if tag in ("html", "body", "main"):
             other = False
         else:
             other = bool((_REPLY if tag == "article" else _OTHER).search(words))
-        silent = silent or tag in _SILENT or hidden or other
-        if tag in _CONTENT and not silent:
+        silent = silent or tag in _SILENT or hidden
+        if tag in _CONTENT and not silent and not other:
+            if tag == "main":
+                self.wrappers.update(around)
             self.regions += 1
             region = region or self.regions  # of nested ones the outermost
-        self.open.append((tag, silent, region))
+        if other and not silent:
+            self.named += 1
+            around = (*around, self.named)
+        self.open.append((tag, silent, region, around))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -144,14 +169,26 @@ class _Lines(HTMLParser):
         self._close({tag}, frozenset() if tag in _BLOCKS or tag in _SILENT else _BLOCKS)
 
     def handle_data(self, data: str) -> None:
-        silent, region = self._state()
+        silent, region, around = self._state()
         if silent:
             return
         line = self.lines[-1]
-        line.parts.append(data)
         line.region = region
-        if any(name == "a" for name, *_ in self.open[-3:]):
-            line.links += len(data.strip())
+        linked = any(name == "a" for name, *_ in self.open[-3:])
+        line.add(data, around, len(data.strip()) if linked else 0)
+
+    def settle(self) -> None:
+        """Silence the named elements that are no wrappers of the page."""
+        held, total = Counter(), 0
+        for line in self.lines:
+            for part, (named, links) in zip(line.parts, line.around, strict=True):
+                own = len(part.strip()) - links
+                total += own
+                held.update(dict.fromkeys(named, own))
+        wide = {n for n in held if total and held[n] >= _WRAPPER * total}
+        quiet = set(range(1, self.named + 1)) - wide - self.wrappers
+        for line in self.lines:
+            line.silence(quiet)
 
 
 def smoothed(values: np.ndarray, sigma: float = _SIGMA) -> np.ndarray:
@@ -167,6 +204,7 @@ def main_text(html: str) -> str:
     page = _Lines()
     page.feed(html)
     page.close()
+    page.settle()
     lines = [(line, line.text) for line in page.lines]
     ratio = np.array([
         (len(text) - line.links) / (line.tags + 1) for line, text in lines
