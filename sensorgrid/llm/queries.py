@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorgrid import ship_package
 from sensorgrid.llm import (
-    exact_dedup, html_text, mixing, packing, pii, quality, repeats, secret_scan, sharding, simhash,
+    byte_bpe, exact_dedup, html_text, mixing, packing, pii, quality, repeats, secret_scan, sharding, simhash,
 )
 from sensorgrid.llm.common import prepare
 
@@ -85,6 +85,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the bytes that they decode to."""
+    docs = _table(spark, sf_dir, "documents")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+    )
+    return byte_bpe.decode(encoded, byte_bpe.token_table(spark, ranks)).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_repeats": op2_repeats,
@@ -96,6 +109,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES = {
