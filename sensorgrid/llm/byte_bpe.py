@@ -243,10 +243,12 @@ def encode(
         StructType([*carried[:2], StructField("word", BinaryType()), *carried[2:]]),
     )
     place = F.when(F.col("word").isNull(), F.xxhash64("block", "at")).otherwise(F.xxhash64("word"))
-    encoded = exploded.repartition(place).sortWithinPartitions("word").mapInArrow(
+    # a set number, as small partitions hold much work here
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded = exploded.repartition(parts, place).sortWithinPartitions("word").mapInArrow(
         _encode_words(ranks, pattern), StructType([*carried, StructField("ids", BinaryType())])
     )
-    ordered = encoded.repartition("block").sortWithinPartitions(
+    ordered = encoded.repartition(parts, "block").sortWithinPartitions(
         "block", F.col("packed").isNotNull(), "at"
     )
     done = ordered.mapInArrow(_reassemble, StructType([

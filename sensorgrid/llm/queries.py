@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from sensorgrid import ship_package
 from sensorgrid.llm import (
-    byte_bpe, exact_dedup, html_text, mixing, packing, pii, quality, repeats, secret_scan, sharding, simhash,
+    byte_bpe, exact_dedup, html_text, mixing, packing, periodic_runs, pii, quality, repeats, secret_scan, sharding, simhash,
 )
-from sensorgrid.llm.common import prepare
+from sensorgrid.llm.common import prepare, text_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,50 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of all documents; where crc32(doc_id) % 10 = 0 the words from a on
+    repeat the p words from a. A null doc_id has no such hash; its text stays."""
+    words = F.filter(F.split(text_of("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    marked = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    listed = marked.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    placed = listed.withColumn("n", F.size("words")).withColumn(
+        "a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    ).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    changed = F.slice(
+        F.concat(
+            F.slice("words", F.lit(1), F.col("a")),
+            F.flatten(F.array_repeat(
+                period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+            )),
+        ),
+        F.lit(1), F.col("n"),
+    )
+    return placed.select(
+        "doc_id",
+        F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text"))
+        .alias("text"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, and what is left without the repeats."""
+    docs = _with_planted_runs(_table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.best_run())
+    lines = F.transform("runs", lambda r: F.concat_ws(
+        "", r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")
+    ))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+        .alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept_words", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and the bytes that they decode to."""
     docs = _table(spark, sf_dir, "documents")
@@ -109,6 +153,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
