@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sensorgrid import ship_package
 from sensorgrid.llm import (
     byte_bpe, exact_dedup, html_text, mixing, packing, periodic_runs, pii, quality, repeats, secret_scan, sharding, simhash,
+    whitening,
 )
 from sensorgrid.llm.common import prepare, text_of
 
@@ -85,6 +86,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first four whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of all documents; where crc32(doc_id) % 10 = 0 the words from a on
     repeat the p words from a. A null doc_id has no such hash; its text stays."""
@@ -153,6 +159,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
