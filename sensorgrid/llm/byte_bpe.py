@@ -1,19 +1,21 @@
 """Byte-level BPE by a global shuffle of distinct words, and decoding by a join.
 
 Encoding: texts are split into pre-tokens where they stand. Each block of documents explodes
-into one row per distinct pre-token, numbered by falling frequency, and its documents become
-runs of those numbers, position by position. The pre-tokens meet by their bytes, so that each
-distinct one of the whole table is encoded once; the ids go back to the block that asked, and
-the documents are put together by position. A pre-token is at most one row per block, however
-often it occurs, so a frequent word is no hot key.
-
-Decoding: ids are exploded with their positions, join the table of token bytes (its size is
-that of the vocabulary, so it is broadcast), and the bytes are put together in order.
+into its distinct pre-tokens, numbered by falling frequency, and its documents become runs of
+those numbers, position by position. The distinct pre-tokens travel by a hash, packed by
+bucket, so that each distinct one of the whole table is encoded once; the ids go back to the
+block that asked, and the documents are put together by position. A pre-token is sent at most
+once per block, however often it occurs, so a frequent word is no hot key.
+
+Decoding: each batch explodes into its distinct ids, which join the table of token bytes (its
+size is that of the vocabulary, so it is broadcast); the rows that hold the positions follow
+in the same stream, and the bytes are put together in order.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,7 +24,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import (
     ArrayType, BinaryType, IntegerType, LongType, StructField, StructType,
 )
@@ -34,10 +35,10 @@ from sensorgrid.llm.common import text_of
 BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 400_000
 #: A block packs so many documents together that they hold a share of this of its tokens.
 _CHUNKS = 40
-#: Pre-tokens whose ids a worker finds at a time.
-_ENCODE_WORDS = 20_000
+#: Buckets of distinct pre-tokens per shuffle partition.
+_BUCKETS = 4
 _CODEC = "zstd"
-#: Width of the packed numbers: one plane per byte.
+#: Width of packed numbers: one plane per byte.
 _PLANES = 3
 
 
@@ -49,18 +50,31 @@ class _Numbers(dict):
         return number
 
 
+def squeeze(raw: bytes) -> bytes:
+    """Compressed bytes behind their length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def spread(packed: bytes) -> bytes:
+    """The bytes behind `squeeze`."""
+    return pa.decompress(
+        packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec=_CODEC,
+        asbytes=True,
+    )
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2 ** 24 as compressed byte planes."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :_PLANES].T
-    return pa.compress(planes.tobytes(), codec=_CODEC, asbytes=True)
+    planes = np.asarray(numbers).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :_PLANES].T
+    return squeeze(planes.tobytes())
 
 
-def unpack(packed: bytes, count: int) -> np.ndarray:
-    """The `count` numbers behind `pack`."""
-    raw = pa.decompress(packed, decompressed_size=count * _PLANES, codec=_CODEC, asbytes=True)
-    planes = np.zeros((count, 4), dtype=np.uint8)
-    planes[:, :_PLANES] = np.frombuffer(raw, dtype=np.uint8).reshape(_PLANES, count).T
-    return planes.view("<u4").reshape(count).astype(np.int64)
+def unpack(packed: bytes) -> np.ndarray:
+    """The numbers behind `pack`."""
+    raw = np.frombuffer(spread(packed), dtype=np.uint8).reshape(_PLANES, -1)
+    planes = np.zeros((raw.shape[1], 4), dtype=np.uint8)
+    planes[:, :_PLANES] = raw.T
+    return planes.view("<u4").reshape(-1).astype(np.int64)
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray, which: np.ndarray):
@@ -78,7 +92,7 @@ class _Block:
     def __init__(self, kept: pa.DataType):
         self.words, self.runs, self.rows, self.kept, self.tokens = _Numbers(), [], [], kept, 0
 
-    def add(self, found: list[str], row: pa.Scalar) -> None:
+    def add(self, found: list[str], row: dict) -> None:
         self.runs.append(np.fromiter(map(self.words.__getitem__, found), np.int64, len(found)))
         self.rows.append(row)
         self.tokens += len(found)
@@ -86,18 +100,21 @@ class _Block:
     def full(self, limit: int) -> bool:
         return self.tokens >= limit or len(self.words) >= BLOCK_WORDS
 
-    def batches(self, number: int) -> Iterator[pa.RecordBatch]:
-        """Rows (block, at, word) and (block, at, packed, docs, lengths)."""
+    def batches(self, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """One row per bucket of distinct pre-tokens, then one per chunk of documents."""
         counts = np.bincount(np.concatenate(self.runs), minlength=len(self.words))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        names = list(self.words)
-        for at in range(0, len(order), _ENCODE_WORDS):
-            part = order[at:at + _ENCODE_WORDS].tolist()
-            yield self._rows(
-                number, range(at, at + len(part)), [names[i].encode() for i in part],
-                [None] * len(part), None, None,
+        words = [word.encode() for word in self.words]
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        by_bucket = np.lexsort([rank, bucket])
+        firsts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
+        for own in np.split(by_bucket, firsts[1:]) if len(firsts) else []:
+            asked = [words[i] for i in own.tolist()]
+            yield self._row(
+                number, bucket=int(bucket[own[0]]), ranks=pack(rank[own]),
+                sizes=pack([len(word) for word in asked]), body=squeeze(b"".join(asked)),
             )
         start, chunk, limit = 0, 0, self.tokens // _CHUNKS
         while start < len(self.runs):
@@ -105,26 +122,31 @@ class _Block:
             while end < len(self.runs) and held + len(self.runs[end]) <= limit:
                 held += len(self.runs[end])
                 end += 1
-            packed = pack(rank[np.concatenate(self.runs[start:end])])
-            lengths = [len(run) for run in self.runs[start:end]]
-            yield self._rows(
-                number, [chunk], [None], [packed], [self.rows[start:end]], [lengths]
+            yield self._row(
+                number, at=chunk, body=pack(rank[np.concatenate(self.runs[start:end])]),
+                docs=self.rows[start:end], lengths=[len(run) for run in self.runs[start:end]],
             )
             start, chunk = end, chunk + 1
 
-    def _rows(self, number, at, words, packed, docs, lengths) -> pa.RecordBatch:
-        n = len(words)
-        return pa.RecordBatch.from_pydict({
-            "block": pa.array([number] * n, pa.int64()),
-            "at": pa.array(at, pa.int32()),
-            "word": pa.array(words, pa.binary()),
-            "packed": pa.array(packed, pa.binary()),
-            "docs": pa.array(docs or [None] * n, pa.list_(self.kept)),
-            "lengths": pa.array(lengths or [None] * n, pa.list_(pa.int32())),
-        })
+    def _row(
+        self, block, bucket=None, at=None, ranks=None, sizes=None, body=None, docs=None,
+        lengths=None,
+    ) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()), pa.array([bucket], pa.int32()),
+                pa.array([at], pa.int32()), pa.array([ranks], pa.binary()),
+                pa.array([sizes], pa.binary()), pa.array([body], pa.binary()),
+                pa.array([docs], pa.list_(self.kept)), pa.array([lengths], pa.list_(pa.int32())),
+            ],
+            names=_COLUMNS,
+        )
+
 
+_COLUMNS = ["block", "bucket", "at", "ranks", "sizes", "body", "docs", "lengths"]
 
-def _explode(pattern: str, block_tokens: int):
+
+def _explode(pattern: str, block_tokens: int, buckets: int):
     """Blocks of the documents of a task: distinct pre-tokens, and documents as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +160,10 @@ def _explode(pattern: str, block_tokens: int):
                 block = block or _Block(rows.type)
                 block.add(find(text.as_py()), row.as_py())
                 if block.full(block_tokens):
-                    yield from block.batches(number)
+                    yield from block.batches(number, buckets)
                     block, number = None, number + 1
         if block:
-            yield from block.batches(number)
+            yield from block.batches(number, buckets)
 
     return run
 
@@ -168,43 +190,73 @@ def _encoder(path: str, pattern: str):
 
 
 def _encode_words(path: str, pattern: str):
-    """Ids of each distinct pre-token; equal ones follow each other. Other rows pass."""
+    """Ids for each list of pre-tokens; the lists of a bucket follow each other.
+
+    The ids of a bucket's distinct pre-tokens are kept until it ends. Documents pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path, pattern).encode_ordinary
-        last, ids = None, b""
+        last, known = None, {}
         for batch in batches:
-            found = []
-            for word in batch.column("word").to_pylist():
-                if word is not None and word != last:
-                    last, ids = word, np.array(encode(word.decode()), dtype="<u4").tobytes()
-                found.append(None if word is None else ids)
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "word"}
-            columns["ids"] = pa.array(found, pa.binary())
+            out = {"sizes": [], "body": []}
+            rows = [batch.column(n).to_pylist() for n in ("bucket", "sizes", "body")]
+            for bucket, sizes, body in zip(*rows, strict=True):
+                if bucket is not None:
+                    if bucket != last:
+                        last, known = bucket, {}
+                    found, raw, start = [], spread(body), 0
+                    for size in unpack(sizes).tolist():
+                        word = raw[start:start + size]
+                        start += size
+                        if (ids := known.get(word)) is None:
+                            ids = known[word] = encode(word.decode())
+                        found.append(ids)
+                    sizes = pack([len(ids) for ids in found])
+                    body = pack([i for ids in found for i in ids])
+                out["sizes"].append(sizes)
+                out["body"].append(body)
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            columns |= {n: pa.array(v, pa.binary()) for n, v in out.items()}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
+class _Ids:
+    """Ids of the pre-tokens of one block, by number."""
+
+    def __init__(self):
+        self.ranks, self.sizes, self.bodies, self.first = [], [], [], None
+
+    def add(self, ranks: bytes, sizes: bytes, body: bytes) -> None:
+        self.ranks.append(unpack(ranks))
+        self.sizes.append(unpack(sizes))
+        self.bodies.append(unpack(body).astype(np.int32))
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens `which` one after another, and how many each has."""
+        if self.first is None:
+            ranks, sizes = (np.concatenate(a or [which[:0]]) for a in (self.ranks, self.sizes))
+            self.flat = np.concatenate(self.bodies or [which[:0].astype(np.int32)])
+            self.first, self.count = np.empty_like(sizes), np.empty_like(sizes)
+            self.first[ranks], self.count[ranks] = np.cumsum(sizes) - sizes, sizes
+        return _gather(self.flat, self.first, self.count, which)
+
+
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each block; the ids of its pre-tokens come first, by number."""
-    block, flat, count, first = None, [], [], None
+    """Documents of each block; the ids of its pre-tokens come first."""
+    block, known = None, _Ids()
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("block", "ids", "packed", "lengths")]
-        for i, (number, ids, packed, lengths) in enumerate(zip(*columns, strict=True)):
+        rows = [batch.column(n).to_pylist() for n in ("block", "ranks", "sizes", "body", "lengths")]
+        for i, (number, ranks, sizes, body, lengths) in enumerate(zip(*rows, strict=True)):
             if number != block:
-                block, flat, count, first = number, [], [], None
-            if packed is None:
-                flat.append(ids)
-                count.append(len(ids) // 4)
+                block, known = number, _Ids()
+            if lengths is None:
+                known.add(ranks, sizes, body)
                 continue
-            if first is None:
-                flat = np.frombuffer(b"".join(flat), dtype="<u4").astype(np.int32)
-                count = np.array(count, dtype=np.int64)
-                first = np.cumsum(count) - count
-            which = unpack(packed, sum(lengths))
-            found, sizes = _gather(flat, first, count, which)
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *lengths])]
+            found, counts = known.of(unpack(body))
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *lengths])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("docs")[i].values,
@@ -233,23 +285,21 @@ def encode(
     """
     kept = StructType([docs.schema[name] for name in keep])
     rows = docs.select(F.struct(*keep).alias("kept"), text_of(text).alias("whole"))
-    carried = [
-        StructField("block", LongType()), StructField("at", IntegerType()),
-        StructField("packed", BinaryType()), StructField("docs", ArrayType(kept)),
-        StructField("lengths", ArrayType(IntegerType())),
-    ]
-    exploded = rows.mapInArrow(
-        _explode(pattern, block_tokens),
-        StructType([*carried[:2], StructField("word", BinaryType()), *carried[2:]]),
-    )
-    place = F.when(F.col("word").isNull(), F.xxhash64("block", "at")).otherwise(F.xxhash64("word"))
+    carried = StructType([
+        StructField("block", LongType()), StructField("bucket", IntegerType()),
+        StructField("at", IntegerType()), StructField("ranks", BinaryType()),
+        StructField("sizes", BinaryType()), StructField("body", BinaryType()),
+        StructField("docs", ArrayType(kept)), StructField("lengths", ArrayType(IntegerType())),
+    ])
     # a set number, as small partitions hold much work here
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = exploded.repartition(parts, place).sortWithinPartitions("word").mapInArrow(
-        _encode_words(ranks, pattern), StructType([*carried, StructField("ids", BinaryType())])
+    exploded = rows.mapInArrow(_explode(pattern, block_tokens, parts * _BUCKETS), carried)
+    place = F.coalesce(F.col("bucket").cast("long"), F.xxhash64("block", "at"))
+    encoded = exploded.repartition(parts, place).sortWithinPartitions("bucket").mapInArrow(
+        _encode_words(ranks, pattern), carried
     )
     ordered = encoded.repartition(parts, "block").sortWithinPartitions(
-        "block", F.col("packed").isNotNull(), "at"
+        "block", F.col("lengths").isNotNull(), "at"
     )
     done = ordered.mapInArrow(_reassemble, StructType([
         StructField("kept", kept), StructField("ids", ArrayType(IntegerType())),
@@ -268,70 +318,116 @@ def token_table(spark: SparkSession, ranks: str) -> DataFrame:
     )
 
 
-def _concatenate(kept: pa.DataType):
-    """Bytes of each row; its pieces follow each other, and position 0 starts it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_row, parts, last = None, [], -1
+def _explode_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch one row per distinct id, then its rows."""
+    for number, batch in enumerate(batches):
+        kept, ids = batch.column("row"), batch.column("ids")
+        distinct = pc.unique(ids.flatten()).drop_null()
+        blank = len(distinct)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([number] * blank, pa.int64()), distinct.cast(pa.int32()),
+                pa.nulls(blank, kept.type), pa.nulls(blank, ids.type),
+            ],
+            names=["batch", "id", "row", "ids"],
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([number] * len(kept), pa.int64()), pa.nulls(len(kept), pa.int32()),
+                kept, ids,
+            ],
+            names=["batch", "id", "row", "ids"],
+        )
 
-        def closed(rows: list, found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows, kept), pa.array(found, pa.binary())], names=["kept", "bytes"]
-            )
 
-        for batch in batches:
-            at = batch.column("at").to_numpy()
-            if not len(at):
+class _Pieces:
+    """Bytes of the distinct ids of one batch."""
+
+    def __init__(self):
+        self.ids, self.bytes, self.order = [], [], None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        if self.order is not None:
+            raise ValueError("a piece came behind the rows that use it")
+        self.ids += rows.column("id").to_pylist()
+        self.bytes += [piece or b"" for piece in rows.column("piece").to_pylist()]
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids `which` one after another, and how many each has."""
+        if self.order is None:
+            ids = np.array(self.ids, dtype=np.int64)
+            self.order = np.argsort(ids)
+            self.ids = ids[self.order]
+            self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+            sizes = np.array([len(piece) for piece in self.bytes], dtype=np.int64)
+            self.first, self.count = np.cumsum(sizes) - sizes, sizes
+        if not len(which):
+            return self.flat[:0], which
+        place = self.order[np.searchsorted(self.ids, which)]
+        return _gather(self.flat, self.first, self.count, place)
+
+
+def _reassemble_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of each row; the pieces of its batch come before it."""
+    number, known = None, _Pieces()
+    for batch in batches:
+        own = batch.column("batch").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
                 continue
-            before = np.concatenate([[last], at[:-1]])
-            if not ((at == before + 1) | (at == 0)).all():
-                raise ValueError("the pieces of a row are not in order")
-            last = int(at[-1])
-            starts = np.flatnonzero(at == 0)
-            runs = pa.ListArray.from_arrays(
-                pa.array([0, *starts.tolist(), len(at)], pa.int32()),
-                batch.column("piece").fill_null(b""),
+            part = batch.slice(low, high - low)
+            if own[low] != number:
+                number, known = own[low], _Pieces()
+            is_piece = part.column("id").is_valid()
+            pieces, rows = part.filter(is_piece), part.filter(pc.invert(is_piece))
+            if pieces.num_rows:
+                known.add(pieces)
+            if not rows.num_rows:
+                continue
+            ids = rows.column("ids")
+            flat = ids.flatten().drop_null().to_numpy().astype(np.int64)
+            sizes = [len(row.drop_null()) if row is not None else 0 for row in
+                     (scalar.values for scalar in ids)] if ids.flatten().null_count else (
+                pc.list_value_length(ids).fill_null(0).to_numpy())
+            found, counts = known.of(flat)
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *sizes])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("row"),
+                    pa.Array.from_buffers(
+                        pa.binary(), rows.num_rows,
+                        [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found.tobytes())],
+                    ),
+                ],
+                names=["kept", "bytes"],
             )
-            head, *joined = pc.binary_join(runs, b"").to_pylist()
-            parts.append(head)  # goes on with the row before
-            rows, found = [], []
-            for row, piece in zip(
-                batch.column("kept").take(pa.array(starts)).to_pylist(), joined, strict=True
-            ):
-                if open_row is not None:
-                    rows.append(open_row)
-                    found.append(b"".join(parts))
-                open_row, parts = row, [piece]
-            if rows:
-                yield closed(rows, found)
-        if open_row is not None:
-            yield closed([open_row], [b"".join(parts)])
-
-    return run
 
 
 def decode(
     encoded: DataFrame, table: DataFrame, ids: str = "ids", out: str = "bytes"
 ) -> DataFrame:
-    """All columns of `encoded` but the array `ids`, and the bytes of its ids as binary `out`.
+    """All columns of `encoded` but the int array `ids`, and the bytes of its ids as `out`.
 
     `table` has the rows (id, piece) of a vocabulary. A null or empty array has no bytes; a
     null id, or one that the table lacks, adds none. Repeated rows stay apart. The join keeps
-    the order of the exploded rows as its small side is broadcast; the task that puts them
+    the order of the stream as its small side is broadcast; the task that puts the bytes
     together checks it. No rows: no rows. `encoded` must have a column besides `ids`.
     """
     kept = StructType([field for field in encoded.schema if field.name != ids])
-    pieces = F.broadcast(table.select(F.col("id").alias("_id"), "piece"))
+    row = StructField("row", kept)
+    pieces = F.broadcast(table.select("id", "piece"))
     exploded = encoded.select(
         F.struct(*[F.col(f"`{name}`") for name in kept.names]).alias("row"),
-        F.posexplode_outer(ids).alias("pos", "_id"),
-    ).withColumn("at", F.coalesce("pos", F.lit(0)))
+        F.col(ids).alias("ids"),
+    ).mapInArrow(_explode_ids, StructType([
+        StructField("batch", LongType()), StructField("id", IntegerType()), row,
+        StructField("ids", ArrayType(IntegerType())),
+    ]))
     return (
-        exploded.withColumn("kept", F.when(F.col("at") == 0, F.col("row")))
-        .join(pieces, "_id", "left")
-        .select("kept", "at", "piece")
+        exploded.join(pieces, "id", "left")
         .mapInArrow(
-            _concatenate(to_arrow_type(kept)),
+            _reassemble_bytes,
             StructType([StructField("kept", kept), StructField("bytes", BinaryType())]),
         )
         .select("kept.*", F.col("bytes").alias(out))
