@@ -302,8 +302,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     )
     tried = cut(minhash.first_pairs(crowd), "near-pairs")
     roots = components(minhash.confirmed(tried, texts))
-    others = minhash.other_pairs(crowd, roots).join(tried, ["a", "b"], "left_anti")
-    links = minhash.confirmed(others, texts)
+    links = minhash.tile_links(minhash.apart_tiles(crowd, roots), texts)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no", *PLACE))
     stay = (

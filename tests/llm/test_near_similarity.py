@@ -72,3 +72,31 @@ def test_shingles_and_similarity():
     assert minhash.shingles(b" ") == {b""} and minhash.shingles(b"A  b") == {b"a b"}
     a = {bytes([i]) for i in range(9)}
     assert minhash.similar(a, a | {b"x"}) and not minhash.similar(a, {*list(a)[:7], b"x"})
+
+
+def test_product_of_shingle_matrices_equals_sets(monkeypatch):
+    monkeypatch.setattr(minhash, "_COLUMNS", 50)
+    texts = [(t or "").encode() for _, t, _ in edited_texts()[:60]] + [b"", b"x y"]
+    hashed = [minhash.hashed_shingles(t) for t in texts]
+    found = minhash.similar_rows(hashed[:40], hashed)
+    for i in range(40):
+        for j, text in enumerate(texts):
+            assert found[i, j] == minhash.similar(
+                minhash.shingles(texts[i]), minhash.shingles(text)
+            )
+
+
+def test_a_large_group_is_compared_in_tiles(spark):
+    """Texts around one base, many beyond reach of the pivots, over several tiles."""
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(2000)]
+    base = draw.choices(words, k=80)
+    rows = []
+    for i in range(1500):
+        text = list(base)
+        for _ in range(draw.choice([1, 2, 2, 3])):
+            text[draw.randrange(len(text))] = draw.choice(words)
+        rows.append((i, " ".join(text), "s"))
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, COLUMNS).repartition(3))
+    found, want = {r.doc_id for r in left.collect()}, brute_survivors(rows)
+    assert want <= found and len(found - want) <= 2 and len(want) > 5
