@@ -9,6 +9,7 @@ import pytest
 pytest.importorskip("duckdb")
 
 import __spark_entry__ as contract  # noqa: E402
+from checks.registry import ORACLES  # noqa: E402
 from checks.verify import compare  # noqa: E402
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -25,6 +26,6 @@ def test_entry(spark):
     assert rows and set(rows[0].asDict()) == {"station_id", "rmse", "mae", "n"}
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     assert compare(spark, name, SF)[0] == "ok"
