@@ -259,16 +259,17 @@ def _thresholds(scored: list, precision: float) -> dict[str, float]:
 
 
 def select_spans(text: Column, base: Column, model: SpanModel) -> Column:
-    """Proposals to redact: above threshold, off the base spans, best where they overlap."""
-    scored = F.transform(
+    """Proposals to redact: above threshold, off the base spans, best where they overlap.
+
+    Spans are swept in order of their starts, so the work follows their number. Of touching
+    proposals the better stays, in the order of their starts; on equal scores the earlier one.
+    """
+    proposed = F.transform(
         F.transform(
-            F.filter(proposals(text), lambda s: ~F.exists(base, lambda b: _touch(s, b))),
+            proposals(text),
             lambda s: F.struct(s.alias("span"), F.struct(*features(text, s)).alias("f")),
         ),
-        lambda c: F.struct(
-            c["span"]["kind"].alias("kind"), c["span"]["start"].alias("start"),
-            c["span"]["end"].alias("end"), model.score(lambda name: c["f"][name]).alias("p"),
-        ),
+        lambda c: _entry(c["span"], 1, model.score(lambda name: c["f"][name])),
     )
 
     def reached(c: Column) -> Column:
@@ -277,21 +278,72 @@ def select_spans(text: Column, base: Column, model: SpanModel) -> Column:
             limit = F.when(c["kind"] == kind, F.lit(threshold)).otherwise(limit)
         return c["p"] >= limit
 
-    good = F.filter(scored, reached)
-    return F.transform(
-        F.filter(good, lambda c: ~F.exists(good, lambda o: _touch(c, o) & _better(o, c))),
-        lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")),
+    fixed = F.transform(base, lambda s: _entry(s, 0, F.lit(1.0)))
+    every = F.array_sort(F.concat(fixed, F.filter(proposed, reached)))
+    return F.transform(_best(F.filter(clear_of_base(every), lambda c: c["more"] == 1)), _span)
+
+
+def clear_of_base(spans: Column) -> Column:
+    """Of sorted entries the base spans, and the others that touch none; swept both ways."""
+    behind = _sweep(
+        spans, F.lit(0), lambda edge, c: F.greatest(edge, c["end"]),
+        lambda edge, c: c["start"] >= edge,
     )
+    before = _sweep(
+        F.reverse(behind), F.lit(2**31 - 1), lambda edge, c: F.least(edge, c["start"]),
+        lambda edge, c: c["end"] <= edge,
+    )
+    return F.reverse(before)
+
+
+_ENTRY = "struct<start:int,more:int,kind:string,end:int,p:double>"
+
 
+def _entry(span: Column, more: int, p: Column) -> Column:
+    """A span as it is sorted: by start, base spans first."""
+    return F.struct(
+        span["start"].alias("start"), F.lit(more).alias("more"), span["kind"].alias("kind"),
+        span["end"].alias("end"), p.alias("p"),
+    ).cast(_ENTRY)
 
-def _touch(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
+def _span(c: Column) -> Column:
+    return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
 
-def _better(a: Column, b: Column) -> Column:
-    return (a["p"] > b["p"]) | (
-        (a["p"] == b["p"])
-        & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"])))
+
+def _sweep(spans: Column, edge: Column, move, clear) -> Column:
+    """All base spans, and the others that are `clear` of the edge that base spans `move`."""
+    def step(done: Column, c: Column) -> Column:
+        is_base = c["more"] == 0
+        stays = is_base | clear(done["edge"], c)
+        return F.struct(
+            F.when(is_base, move(done["edge"], c)).otherwise(done["edge"]).alias("edge"),
+            F.when(stays, F.concat(done["spans"], F.array(c))).otherwise(done["spans"])
+            .alias("spans"),
+        )
+
+    start = F.struct(edge.alias("edge"), F.array().cast(f"array<{_ENTRY}>").alias("spans"))
+    return F.aggregate(spans, start, step)["spans"]
+
+
+def _best(spans: Column) -> Column:
+    """Of spans in order of their starts one of each two that touch: the one of higher score."""
+    def step(done: Column, c: Column) -> Column:
+        last = done["last"]
+        apart = last.isNull() | (c["start"] >= last["end"])
+        return F.struct(
+            F.when(apart & last.isNotNull(), F.concat(done["spans"], F.array(last)))
+            .otherwise(done["spans"]).alias("spans"),
+            F.when(apart | (c["p"] > last["p"]), c).otherwise(last).alias("last"),
+        )
+
+    start = F.struct(
+        F.array().cast(f"array<{_ENTRY}>").alias("spans"), F.lit(None).cast(_ENTRY).alias("last")
+    )
+    return F.aggregate(
+        spans, start, step,
+        lambda done: F.when(done["last"].isNull(), done["spans"])
+        .otherwise(F.concat(done["spans"], F.array(done["last"]))),
     )
 
 
