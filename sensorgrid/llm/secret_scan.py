@@ -1,18 +1,21 @@
 """Secret scans: fixed patterns, and a character network over every other candidate.
 
-Base patterns always stand. Every further token that could be a secret is scored, with the
-characters around it, by a small convolutional network in numpy: one-hot characters, one
-convolution, the maximum and mean over the window, one logistic unit. It is trained once per
-run on labelled findings, `TRAINING_ROWS` of them, made from the public formats of keys and
-of things that look like keys. Scores are calibrated on findings that the training did not
-see; of the thresholds that find `RECALL` of the held-out secrets, the one of best precision
-is taken, of equal ones the lowest, but no less than one half. Weights
-are a few thousand numbers and travel with the task.
+Base patterns always stand. Every further token of 16 characters or more is scored by a small
+convolutional network in numpy: one-hot characters, one convolution, the maximum and mean over
+the window, one logistic unit. Overlapping windows cover the whole token, each with what stands
+before and behind it; the highest score counts, so that a key at the end of a path is seen.
+The network is trained once per run on labelled findings, `TRAINING_ROWS` of them, made from
+the public formats of keys and of things that look like keys, alone and inside paths. Scores
+are calibrated on findings that the training did not see; of the thresholds that find `RECALL`
+of the held-out secrets, the one of best precision is taken, of equal ones the lowest. Weights
+are a few thousand numbers and travel with the task. Equal scores make no difference, as each
+token is judged by itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -38,11 +41,15 @@ _ASSIGN_LEAST, _ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "network")
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-TRAINING_ROWS = 2400
+TRAINING_ROWS = 6000
 RECALL = 0.99
-_BEFORE, _INSIDE = 20, 44
-_WIDTH = _BEFORE + _INSIDE
-_KERNEL, _FILTERS = 5, 16
+#: Characters of a window before, inside and behind its part of a token; parts overlap by half.
+_BEFORE, _INSIDE, _BEHIND = 20, 44, 20
+_STEP = _INSIDE // 2
+_WIDTH = _BEFORE + _INSIDE + _BEHIND
+#: Characters of a secret in a window that make it one in training.
+_SEEN = 16
+_KERNEL, _FILTERS = 5, 24
 _SEED = 20
 
 _ALPHABET = string.ascii_lowercase + string.digits + "+/_=-.:\"' @"
@@ -73,32 +80,44 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Tokens with digits and letters that no base span touches."""
+    """Tokens that no base span touches and that are not one number."""
     found = []
     for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        if token.isalpha() or token.isdigit() or not any(c.isdigit() for c in token):
-            continue
-        if not any(s < m.end() and m.start() < e for s, _, e in taken):
+        if not m[0].isdigit() and not any(s < m.end() and m.start() < e for s, _, e in taken):
             found.append((m.start(), m.end()))
     return found
 
 
-def window_of(text: str, start: int, end: int) -> str:
-    """The characters before a candidate and its first characters, padded."""
-    before = text[max(0, start - _BEFORE):start].rjust(_BEFORE, "\x00")
-    return before + text[start:min(end, start + _INSIDE)].ljust(_INSIDE, "\x00")
+def parts_of(start: int, end: int) -> list[tuple[int, int]]:
+    """Parts of at most 44 characters that cover a candidate, overlapping by half."""
+    last = max(start, end - _INSIDE)
+    starts = [*range(start, last, _STEP), last]
+    return [(at, min(end, at + _INSIDE)) for at in starts]
 
 
-def encode(windows: list[str]) -> np.ndarray:
+def window_of(text: str, start: int, end: int, part: tuple[int, int]) -> tuple[str, int, int]:
+    """The characters around and in a part of a candidate, padded, and what of them is in it."""
+    low, high = part
+    before = text[max(0, low - _BEFORE):low].rjust(_BEFORE, "\x00")
+    behind = text[high:high + _WIDTH - _BEFORE - (high - low)]
+    window = (before + text[low:high] + behind).ljust(_WIDTH, "\x00")
+    return window, max(0, _BEFORE - (low - start)), min(_WIDTH, _BEFORE + end - low)
+
+
+Window = tuple[str, int, int]
+
+
+def encode(windows: list[Window]) -> np.ndarray:
     """One-hot windows: (rows, width, channels)."""
-    codes = np.array([[ord(c) for c in w] for w in windows], dtype=np.int64).reshape(-1, _WIDTH)
+    codes = np.array([[ord(c) for c in w] for w, *_ in windows], dtype=np.int64)
+    codes = codes.reshape(-1, _WIDTH)
     ascii_codes = np.where(codes < 128, codes, 127)
     out = np.zeros((*codes.shape, _CHANNELS), dtype=np.float32)
     rows, columns = np.indices(codes.shape)
     out[rows, columns, _CHANNEL[ascii_codes]] = 1
     out[..., -2] = (codes >= 65) & (codes <= 90)
-    out[:, _BEFORE:, -1] = 1
+    low, high = (np.array([w[k] for w in windows]).reshape(-1, 1) for k in (1, 2))
+    out[..., -1] = (columns >= low) & (columns < high)
     out[codes == 0] = 0
     return out
 
@@ -123,18 +142,54 @@ class Network:
         pooled = np.concatenate([hidden.max(axis=1), hidden.mean(axis=1)], axis=1)
         return patches, hidden, pooled, pooled @ self.out + self.shift
 
-    def raw(self, windows: list[str]) -> np.ndarray:
+    def raw(self, windows: list[Window]) -> np.ndarray:
         """Uncalibrated scores."""
         parts = [self._forward(encode(windows[i:i + 256]))[3] for i in range(0, len(windows), 256)]
         return np.concatenate(parts) if parts else np.empty(0)
 
-    def probability(self, windows: list[str]) -> np.ndarray:
-        """Calibrated probabilities that the candidates are secrets."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(windows) + self.offset, -40, 40)))
+    def highest(self, findings: list[tuple[str, int, int]]) -> np.ndarray:
+        """Highest uncalibrated score of the windows of each candidate (text, start, end)."""
+        parts = [parts_of(start, end) for _, start, end in findings]
+        windows = (
+            window_of(text, start, end, part)
+            for (text, start, end), own in zip(findings, parts, strict=True) for part in own
+        )
+        scores = []
+        while some := list(itertools.islice(windows, 4096)):
+            scores.append(self.raw(some))
+        if not scores:
+            return np.empty(0)
+        first = np.cumsum([0, *map(len, parts[:-1])])
+        return np.maximum.reduceat(np.concatenate(scores), first)
+
+    def probability(self, findings: list[tuple[str, int, int]]) -> np.ndarray:
+        """Calibrated probabilities that candidates are, or hold, secrets."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.highest(findings) + self.offset, -40, 40)))
+
+
+@dataclass
+class Finding:
+    """A candidate text[start:end], and where the secret in it lies, if any."""
+
+    text: str
+    start: int
+    end: int
+    label: int
+    secret: tuple[int, int] = (0, 0)
+
+    @property
+    def place(self) -> tuple[str, int, int]:
+        return self.text, self.start, self.end
+
+    def windows(self) -> Iterator[tuple[Window, int]]:
+        """Windows, each with whether it shows the secret."""
+        for part in parts_of(self.start, self.end):
+            shown = min(part[1], self.secret[1]) - max(part[0], self.secret[0])
+            yield window_of(*self.place, part), int(self.label and shown >= _SEEN)
 
 
-def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) made from public formats, half of them secrets."""
+def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[Finding]:
+    """Findings made from public formats, half of them secrets."""
     draw = random.Random(seed)
     filler = (
         "the value of this page was set and then read by for with new old line deploy use "
@@ -150,6 +205,7 @@ def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[tuple[s
 
     secret = [
         lambda: some(letters, 24, 48),
+        lambda: some(string.ascii_letters, 28, 48),
         lambda: some(base64, 32, 64) + draw.choice(["", "=", "=="]),
         lambda: draw.choice(["ghp_", "gho_", "ghs_"]) + some(letters, 36, 36),
         lambda: draw.choice(["sk_live_", "rk_live_", "sk_test_"]) + some(letters, 24, 32),
@@ -172,6 +228,14 @@ def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[tuple[s
         lambda: "-" * draw.randint(10, 20) + some(string.digits, 1, 3) + "-" * draw.randint(4, 9),
         lambda: "+".join(made_words(1, "") for _ in range(3)) + "=" + some(string.digits, 2, 3),
         lambda: draw.choice(["isbn", "order", "page", "img"]) + "_" + some(string.digits, 12, 20),
+        lambda: made_words(draw.randint(3, 6), "").lower()[:40],
+        lambda: "".join(w.title() for w in made_words(draw.randint(3, 7), " ").split()),
+        lambda: made_words(draw.randint(3, 9), draw.choice("-_/")),
+        lambda: made_words(draw.randint(3, 6), "/") + "/" + some(string.digits, 1, 6),
+        lambda: made_words(draw.randint(2, 4), "_").upper(),
+        lambda: draw.choice("=-_") * draw.randint(16, 60),
+        lambda: "/".join(made_words(1, "") for _ in range(3)) + "/" + "-".join(
+            made_words(1, "") for _ in range(4)),
     ]
     rows = []
     for i in range(n):
@@ -181,8 +245,16 @@ def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[tuple[s
         if draw.random() < 0.3:
             before += draw.choice([" key:", " auth", " bearer", ' "', " id=", " see"])
         before += draw.choice([" ", "\n", "'", '"']) if before else ""
-        rows.append((before + token + " " + draw.choice(filler), len(before),
-                     len(before) + len(token), label))
+        lead = ""
+        if label and draw.random() < 0.25:  # at the end, or in the middle, of a path or query
+            lead = draw.choice("/-_=").join(made_words(1, "") for _ in range(draw.randint(2, 9)))
+            lead += draw.choice("/=_")
+        tail = "/" + made_words(2, "/") if lead and draw.random() < 0.3 else ""
+        first = len(before) + len(lead)
+        rows.append(Finding(
+            before + lead + token + tail + " " + draw.choice(filler), len(before),
+            first + len(token) + len(tail), label, (first, first + len(token)),
+        ))
     return rows
 
 
@@ -190,11 +262,11 @@ def labelled_findings(n: int = TRAINING_ROWS, seed: int = _SEED) -> list[tuple[s
 def trained(n: int = TRAINING_ROWS, seed: int = _SEED, recall: float = RECALL) -> Network:
     """The network, trained on two thirds of the findings and calibrated on the others."""
     rows = [
-        (window_of(t, s, e), label, int(hashlib.blake2b(t.encode()).hexdigest(), 16) % 3)
-        for t, s, e, label in labelled_findings(n, seed)
+        (f, int(hashlib.blake2b(f.text.encode()).hexdigest(), 16) % 3)
+        for f in labelled_findings(n, seed)
     ]
-    fit = [(w, label) for w, label, part in rows if part]
-    held = [(w, label) for w, label, part in rows if not part]
+    fit = [window for f, part in rows if part for window in f.windows()]
+    held = [f for f, part in rows if not part]
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.1, (_KERNEL * _CHANNELS, _FILTERS)).astype(np.float32),
@@ -230,18 +302,19 @@ def trained(n: int = TRAINING_ROWS, seed: int = _SEED, recall: float = RECALL) -
                 move = (first[name] / (1 - 0.9 ** step)) / (
                     np.sqrt(second[name] / (1 - 0.999 ** step)) + 1e-8)
                 setattr(net, name, np.float32(getattr(net, name) - 0.005 * move))
-    raw, truth = net.raw([w for w, _ in held]), np.array([label for _, label in held], float)
+    raw = net.highest([f.place for f in held])
+    truth = np.array([f.label for f in held], float)
     for _ in range(200):  # logistic calibration of the held-out scores
         p = 1 / (1 + np.exp(-np.clip(net.scale * raw + net.offset, -40, 40)))
         net.scale -= 0.05 * float(((p - truth) * raw).mean())
         net.offset -= 0.05 * float((p - truth).mean())
-    score = net.probability([w for w, _ in held])
+    score = net.probability([f.place for f in held])
     order = np.argsort(-score)
     right = np.cumsum(truth[order])
     able = np.flatnonzero(right >= recall * truth.sum())
     precision = right[able] / (able + 1)
     last = able[np.flatnonzero(precision == precision.max())[-1]]
-    net.threshold = max(0.5, float(score[order[last]]))
+    net.threshold = float(score[order[last]])
     return net
 
 
@@ -259,7 +332,7 @@ def _scan(net: Network):
                 (i, start, end) for i, text in enumerate(texts)
                 for start, end in candidates(text, base[i])
             ]
-            scores = net.probability([window_of(texts[i], s, e) for i, s, e in tokens])
+            scores = net.probability([(texts[i], s, e) for i, s, e in tokens])
             spans = [list(own) for own in base]
             for (i, start, end), score in zip(tokens, scores, strict=True):
                 if score >= net.threshold:
