@@ -32,9 +32,9 @@ from sensorgrid.llm.common import text_of
 
 #: A block of documents ends behind the document that brings it to so many pre-tokens, or to
 #: so many distinct ones.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 6_000_000, 500_000
 #: A block packs so many documents together that they hold a share of this of its tokens.
-_CHUNKS = 40
+_CHUNKS = 20
 #: Buckets of distinct pre-tokens per shuffle partition.
 _BUCKETS = 4
 _CODEC = "zstd"
@@ -93,7 +93,7 @@ class _Block:
         self.words, self.runs, self.rows, self.kept, self.tokens = _Numbers(), [], [], kept, 0
 
     def add(self, found: list[str], row: dict) -> None:
-        self.runs.append(np.fromiter(map(self.words.__getitem__, found), np.int64, len(found)))
+        self.runs.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
         self.rows.append(row)
         self.tokens += len(found)
 
@@ -102,31 +102,35 @@ class _Block:
 
     def batches(self, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
         """One row per bucket of distinct pre-tokens, then one per chunk of documents."""
-        counts = np.bincount(np.concatenate(self.runs), minlength=len(self.words))
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        lengths = [len(run) for run in self.runs]
+        numbers, self.runs = np.concatenate(self.runs), []
+        words, self.words = list(map(str.encode, self.words)), None
+        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        words = [word.encode() for word in self.words]
+        numbers = rank[numbers]
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         by_bucket = np.lexsort([rank, bucket])
         firsts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
         for own in np.split(by_bucket, firsts[1:]) if len(firsts) else []:
             asked = [words[i] for i in own.tolist()]
             yield self._row(
-                number, bucket=int(bucket[own[0]]), ranks=pack(rank[own]),
+                number, bucket=int(bucket[own[0]]), ranks=pack(np.diff(rank[own], prepend=0)),
                 sizes=pack([len(word) for word in asked]), body=squeeze(b"".join(asked)),
             )
-        start, chunk, limit = 0, 0, self.tokens // _CHUNKS
-        while start < len(self.runs):
-            end, held = start + 1, len(self.runs[start])
-            while end < len(self.runs) and held + len(self.runs[end]) <= limit:
-                held += len(self.runs[end])
+        words.clear()
+        start, chunk, low, limit = 0, 0, 0, self.tokens // _CHUNKS
+        while start < len(lengths):
+            end, held = start + 1, lengths[start]
+            while end < len(lengths) and held + lengths[end] <= limit:
+                held += lengths[end]
                 end += 1
             yield self._row(
-                number, at=chunk, body=pack(rank[np.concatenate(self.runs[start:end])]),
-                docs=self.rows[start:end], lengths=[len(run) for run in self.runs[start:end]],
+                number, at=chunk, body=pack(numbers[low:low + held]),
+                docs=self.rows[start:end], lengths=lengths[start:end],
             )
-            start, chunk = end, chunk + 1
+            start, chunk, low = end, chunk + 1, low + held
+        pa.default_memory_pool().release_unused()
 
     def _row(
         self, block, bucket=None, at=None, ranks=None, sizes=None, body=None, docs=None,
@@ -230,7 +234,7 @@ class _Ids:
         self.ranks, self.sizes, self.bodies, self.first = [], [], [], None
 
     def add(self, ranks: bytes, sizes: bytes, body: bytes) -> None:
-        self.ranks.append(unpack(ranks))
+        self.ranks.append(np.cumsum(unpack(ranks)))
         self.sizes.append(unpack(sizes))
         self.bodies.append(unpack(body).astype(np.int32))
 
@@ -344,27 +348,27 @@ class _Pieces:
     """Bytes of the distinct ids of one batch."""
 
     def __init__(self):
-        self.ids, self.bytes, self.order = [], [], None
+        self.ids, self.bytes, self.sorted = [], [], None
 
     def add(self, rows: pa.RecordBatch) -> None:
-        if self.order is not None:
+        if self.sorted is not None:
             raise ValueError("a piece came behind the rows that use it")
         self.ids += rows.column("id").to_pylist()
         self.bytes += [piece or b"" for piece in rows.column("piece").to_pylist()]
 
-    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the ids `which` one after another, and how many each has."""
-        if self.order is None:
-            ids = np.array(self.ids, dtype=np.int64)
-            self.order = np.argsort(ids)
-            self.ids = ids[self.order]
-            self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
-            sizes = np.array([len(piece) for piece in self.bytes], dtype=np.int64)
-            self.first, self.count = np.cumsum(sizes) - sizes, sizes
-        if not len(which):
-            return self.flat[:0], which
-        place = self.order[np.searchsorted(self.ids, which)]
-        return _gather(self.flat, self.first, self.count, place)
+    def join(self, ids: np.ndarray) -> bytes:
+        """The bytes of `ids` one after another."""
+        if not len(ids):
+            return b""
+        if self.sorted is None:
+            order = np.argsort(self.ids)
+            pieces = [self.bytes[i] for i in order.tolist()]
+            self.sorted = np.array(self.ids, dtype=np.int32)[order]
+            self.flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+            self.count = np.array([len(piece) for piece in pieces], dtype=np.int32)
+            self.first = np.cumsum(self.count, dtype=np.int32) - self.count
+        place = np.searchsorted(self.sorted, ids)
+        return _gather(self.flat, self.first, self.count, place)[0].tobytes()
 
 
 def _reassemble_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,22 +389,12 @@ def _reassemble_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 known.add(pieces)
             if not rows.num_rows:
                 continue
-            ids = rows.column("ids")
-            flat = ids.flatten().drop_null().to_numpy().astype(np.int64)
-            sizes = [len(row.drop_null()) if row is not None else 0 for row in
-                     (scalar.values for scalar in ids)] if ids.flatten().null_count else (
-                pc.list_value_length(ids).fill_null(0).to_numpy())
-            found, counts = known.of(flat)
-            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *sizes])]
+            done = [
+                known.join(own.values.drop_null().to_numpy()) if own.is_valid else b""
+                for own in rows.column("ids")
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("row"),
-                    pa.Array.from_buffers(
-                        pa.binary(), rows.num_rows,
-                        [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found.tobytes())],
-                    ),
-                ],
-                names=["kept", "bytes"],
+                [rows.column("row"), pa.array(done, pa.binary())], names=["kept", "bytes"]
             )
 
 
