@@ -15,25 +15,17 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sensorgrid.functions import unix_seconds
+from sensorgrid.operators import frames
 from sensorgrid.operators.numbering import number_rows
 
 _CHUNK_WINDOWS = 8
+_ROWS_PER_CHUNK = 500_000
 _ROWS_PER_BLOCK = 65536
 
 
-def range_frame(
-    keys: Sequence[str], order: str, hours: float, centered: bool = False
-) -> Window:
-    """Frame of `hours` back from the current second, both ends included.
-
-    `centered=True` reaches equally far ahead. For use inside a bounded partition.
-    """
-    size = int(hours * 3600)
-    return Window.partitionBy(*keys).orderBy(order).rangeBetween(-size, size if centered else 0)
-
-
 def row_frame(keys: Sequence[str], order: Sequence[str], k: int) -> Window:
     """Centred frame of `k` rows; an even `k` counts as the next smaller odd number."""
     reach = (k - 1) // 2
@@ -74,11 +66,21 @@ def rolling(
 def _in_chunks(
     df: DataFrame, keys: list[str], value_col: str, hours: float, centered: bool
 ) -> DataFrame:
-    """Rolling mean and median of rows that stand for `_c` readings each."""
+    """Rolling mean and median of rows that stand for `_c` readings each.
+
+    A chunk with more than `_ROWS_PER_CHUNK` rows is cut into parts by time.
+    """
     size = int(hours * 3600)
     ahead = size if centered else 0
     chunk = max(_CHUNK_WINDOWS * size, 1)
-    spread = df.withColumn("_own", _floor_div(F.col("unix_time"), chunk)).withColumn(
+    placed = df.withColumn("_own", _floor_div(F.col("unix_time"), chunk))
+    crowded = placed.groupBy(*keys, "_own").agg(
+        F.ceil(F.count(F.lit(1)) / _ROWS_PER_CHUNK).cast("int").alias("_parts")
+    ).where("_parts > 1 and _own is not null")
+    crowded = crowded.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_own").alias("_k"), "_parts"
+    )
+    spread = placed.withColumn(
         "_chunk",
         F.explode_outer(
             F.sequence(
@@ -87,16 +89,37 @@ def _in_chunks(
             )
         ),
     )
-    frame = range_frame([*keys, "_chunk"], "unix_time", hours, centered)
-    value = F.col(value_col)
-    known = F.when(value.isNotNull(), F.col("_c"))
-    mean = F.try_divide(F.sum(value * F.col("_c")).over(frame), F.sum(known).over(frame))
-    return (
-        spread.withColumn("mean", mean)
-        .withColumn("median", F.percentile(value, 0.5, F.col("_c")).over(frame))
-        .where(F.col("_chunk").eqNullSafe(F.col("_own")))
-        .drop("_chunk", "_own")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    spread = spread.join(crowded, same & (F.col("_chunk") == F.col("_k")), "left").drop(
+        "_k", *[f"_k_{k}" for k in keys]
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    step = F.ceil(F.lit(chunk) / parts)
+
+    def part(time: Column) -> Column:
+        inside = time - F.col("_chunk") * chunk
+        return F.least(F.greatest(_floor_div(inside, step), F.lit(0)), parts - 1)
+
+    cut = spread.withColumn("_at", part(F.col("unix_time"))).withColumn(
+        "_part",
+        F.explode_outer(F.sequence(
+            part(F.col("unix_time") - ahead), part(F.col("unix_time") + size)
+        )),
+    )
+    is_own = F.col("_chunk").eqNullSafe(F.col("_own")) & F.col("_part").eqNullSafe(F.col("_at"))
+    piece = [*keys, "_chunk", "_part"]
+    # nulls leave a hash as it is, so they count by themselves
+    number = F.xxhash64(*[c for k in piece for c in (F.col(k), F.col(k).isNull())])
+    rows = (
+        cut.withColumn("_is_own", is_own).withColumn("_value", F.col(value_col).cast("double"))
+        .withColumn("_piece", number)
+        .repartition(*piece).sortWithinPartitions(*piece, "unix_time")
+        .select(*df.columns, "_is_own", "_value", "_piece")
     )
+    schema = StructType([
+        *df.schema, StructField("mean", DoubleType()), StructField("median", DoubleType()),
+    ])
+    return rows.mapInArrow(frames.chunk_statistics(size, ahead), schema)
 
 
 def row_window(

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import statistics
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorgrid.operators import panel, windows
+from sensorgrid.operators import frames, panel, windows
 from tests.conftest import at
 
 H = 3600
@@ -120,3 +122,69 @@ def test_leave_one_out_uses_cleaned_training_and_raw_test(obs):
 def test_as_vector(obs):
     vectors = panel.as_vector(panel.series(obs([("a", 1, 2.0)], "label")), "series", "v")
     assert list(vectors.select(F.col("v")).first()[0].toArray()) == [2.0]
+
+
+def _plain_frames(times, values, asked, back, ahead):
+    out = []
+    for t in asked:
+        own = sorted(v for s, v in zip(times, values) if t - back <= s <= t + ahead)
+        out.append((sum(own) / len(own), statistics.median(own)) if own else (None, None))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sliding_frames_equal_plain_ones(seed):
+    draw = random.Random(seed)
+    times = sorted(draw.randrange(400) for _ in range(300))
+    values = [draw.choice([draw.randrange(9), -draw.random(), 1e300]) for _ in times]
+    asked = [draw.randrange(-50, 500) for _ in range(200)]
+    back, ahead = draw.choice([(0, 0), (7, 0), (30, 30), (1000, 0)])
+    mean, median = frames.frame_statistics(
+        np.array(times), np.array(values), np.ones(len(times), int), np.array(asked), back, ahead)
+    for got, want in zip(zip(mean, median), _plain_frames(times, values, asked, back, ahead)):
+        assert got == pytest.approx(want)
+
+
+def test_frames_leave_no_rounding_and_no_nan_behind():
+    times = np.arange(6)
+    values = np.array([1e300, 0.1, 0.2, float("nan"), 0.3, 0.5])
+    mean, median = frames.frame_statistics(times, values, np.ones(6, int), times, 1, 0)
+    assert mean[2] == pytest.approx(0.15) and mean[5] == pytest.approx(0.4)
+    assert np.isnan(mean[3]) and np.isnan(mean[4]) and median[5] == pytest.approx(0.4)
+
+
+def test_ten_times_the_readings_take_about_ten_times_as_long():
+    draw = np.random.default_rng(2)
+
+    def seconds(n):
+        times, values = np.sort(draw.integers(0, 86_400, n)), draw.random(n)
+        started = time.process_time()
+        frames.frame_statistics(times, values, np.ones(n, int), times, 43_200, 0)
+        return time.process_time() - started
+
+    few = min(seconds(8_000) for _ in range(3))
+    assert min(seconds(80_000) for _ in range(2)) < 25 * few  # a hundred times, frame by frame
+
+
+def test_a_crowded_chunk_is_cut_by_time(spark, obs, monkeypatch):
+    draw = random.Random(6)
+    rows = [("hot", draw.randrange(90_000), draw.choice([None, draw.random()])) for _ in range(900)]
+    rows += [("cold", t * 1000, float(t)) for t in range(40)] + [("hot", None, 3.0)] * 2
+    timed = obs([(i, t or 0, v) for i, t, v in rows]).withColumn(
+        "ts", F.when(F.col("value").eqNullSafe(3.0) & (F.col("station_id") == "hot"), None)
+        .otherwise(F.col("ts")))
+    want = {}
+    for limit in (10**9, 40):
+        monkeypatch.setattr(windows, "_ROWS_PER_CHUNK", limit)
+        got = rows_of(windows.rolling(timed, hours=2, centered=True),
+                      "station_id", "unix_time", "value", "mean", "median")
+        want.setdefault("rows", got)
+        assert len(got) == len(rows)
+        for a, b in zip(got, want["rows"], strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+    known = [(t, v) for i, t, v in rows if i == "hot" and v is not None and t is not None]
+    times, values = zip(*known)
+    plain = dict(zip(times, _plain_frames(times, values, times, 7200, 7200)))
+    for station, t, value, mean, median in want["rows"]:
+        if station == "hot" and t is not None and value is not None:
+            assert (mean, median) == pytest.approx(plain[t])
