@@ -111,13 +111,10 @@ def distances(locations: DataFrame, points: DataFrame, max_radius: float) -> Dat
     """Every (location, point) up to `max_radius` metres apart, with `distance`."""
     grid = CellGrid(max_radius)
     centres = locations.select("id", F.col("lon").alias("loc_lon"), F.col("lat").alias("loc_lat"))
-    listed = grid.list_reach(spread(centres, "id"), "loc_lon", "loc_lat")
-    near = listed.select("id", "loc_lon", "loc_lat", "_band", "_cell").join(
-        grid.list_points(points), ["_band", "_cell"]
-    )
+    near = grid.near_points(spread(centres, "id"), points, "loc_lon", "loc_lat")
     apart = haversine(F.col("loc_lon"), F.col("loc_lat"), F.col("lon"), F.col("lat"))
     return near.withColumn("distance", apart).where(F.col("distance") <= max_radius).drop(
-        "_band", "_cell", "loc_lon", "loc_lat"
+        "loc_lon", "loc_lat"
     )
 
 
