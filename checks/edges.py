@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from checks.adapters import Inputs
 from checks.registry import check
-from checks.relational import _exploded, _LABELS, _valued, rounded, station_lines
+from checks.relational import _AQI_SQL, _exploded, _LABELS, _valued, rounded, station_lines
 from checks.spatial import (
     _AREA_SQL, _COUNT_SQL, _LENGTH_SQL, CORNERS, _boxes, _grid, _lines, _pois,
 )
 from sensorgrid import shared_dir
-from sensorgrid.functions import time_of_file, wkt_paths, wkt_rings
+from sensorgrid.functions import register_sql_functions, time_of_file, wkt_paths, wkt_rings
 from sensorgrid.operators import ingest, panel, rollup, spatial, windows
 from sensorgrid.sinks import Sink, write_csv, write_grid_text, write_result, written_times
 from sensorgrid.sources import layer_catalog, layer_tables, open_layers, parse_station_csv
@@ -265,3 +265,53 @@ def _(d: Inputs) -> DataFrame:
 def _(d: Inputs) -> DataFrame:
     name = F.concat(F.lit("out/result "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(".0.csv"))
     return d.events.select("event_id", time_of_file(name).alias("ts"))
+
+
+# ---------------------------------------------------------------- queries as text
+
+
+def _as_text(d: Inputs, text: str, **tables: DataFrame) -> DataFrame:
+    spark = d.events.sparkSession
+    register_sql_functions(spark)
+    return spark.sql(text, **tables)
+
+
+@check(
+    "sql_hourly_index",
+    f"select event_type, date_trunc('hour', ts) as hour, round(avg(aqi), 5) as aqi from (select "
+    f"event_type, ts, {_AQI_SQL.format(c='value')} as aqi from events) group by 1, 2",
+)
+def _(d: Inputs) -> DataFrame:
+    return _as_text(
+        d, "SELECT event_type, date_trunc('HOUR', ts) AS hour, round(avg(aqi_pm25(value)), 5) AS aqi "
+        "FROM {events} GROUP BY 1, 2", events=d.events,
+    )
+
+
+@check(
+    "sql_weighted_by_distance",
+    "select d.id_a as id, round(sum(v.value / d.distance) / sum(1 / d.distance), 6) as value "
+    "from a_distance d join (select station_id, avg(value) as value from a_obs_day group by 1) v "
+    "on v.station_id = d.id_b group by 1",
+)
+def _(d: Inputs) -> DataFrame:
+    return _as_text(
+        d, "SELECT a.station_id AS id, round(sum(v.value * w) / sum(w), 6) AS value FROM ("
+        "SELECT a.station_id, b.station_id AS other, inverse_distance_weight("
+        "distance_m(a.lon, a.lat, b.lon, b.lat), 1) AS w FROM {station} a JOIN {station} b "
+        "ON a.station_id <> b.station_id) a JOIN (SELECT station_id, avg(value) AS value "
+        "FROM {obs} GROUP BY 1) v ON v.station_id = a.other GROUP BY 1",
+        station=d.a_station, obs=d.a_obs_day,
+    )
+
+
+@check(
+    "sql_rings_of_stations",
+    "select station_id, s as buffer_size, round(100.0e0 * (s - 100) / 2900, 6) as share "
+    "from a_station, unnest(generate_series(100, 3000, 100)) g(s)",
+)
+def _(d: Inputs) -> DataFrame:
+    return _as_text(
+        d, "SELECT s.station_id, r.buffer_size, round(rescale(r.buffer_size, 100, 3000, 0, 100), 6) "
+        "AS share FROM {station} s, LATERAL rings(100, 3000) r", station=d.a_station,
+    )

@@ -11,6 +11,7 @@ from sensorgrid.functions.geo import (
     wkt_point,
     wkt_rings,
 )
+from sensorgrid.functions.sql import register_sql_functions
 from sensorgrid.functions.text import (
     empty_to_null,
     feature_key,
@@ -26,7 +27,8 @@ from sensorgrid.functions.time import hour_of, local_to_utc, unix_seconds, utc_t
 __all__ = [
     "EARTH_RADIUS_M", "PM25_BANDS", "aqi_pm25", "empty_to_null", "feature_key",
     "feature_table", "haversine", "hour_of", "inverse_distance_weight",
-    "layer_of_table", "local_to_utc", "parse_loose_timestamp", "rescale",
+    "layer_of_table", "local_to_utc", "parse_loose_timestamp",
+    "register_sql_functions", "rescale",
     "time_of_file", "unix_seconds", "unquote", "utc_to_local", "wkt_lat", "wkt_lon",
     "wkt_paths", "wkt_point", "wkt_rings", "zero_to_null",
 ]
