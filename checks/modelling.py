@@ -10,7 +10,14 @@ from checks.adapters import Inputs
 from checks.registry import check
 from checks.relational import rounded
 from sensorgrid import shared_dir
-from sensorgrid.operators import features, models, panel, windows
+from sensorgrid.operators import (
+    features,
+    fold_clusters,
+    fold_importance,
+    models,
+    panel,
+    windows,
+)
 from sensorgrid.plans import grid
 from sensorgrid.streaming import (
     dedupe_stream,
@@ -33,6 +40,12 @@ def _vectors(d: Inputs) -> tuple[DataFrame, DataFrame]:
     return features.to_vector(keyed, ids, names), names
 
 
+def _folds(d: Inputs) -> DataFrame:
+    """Every station left out once, and nobody."""
+    nobody = d.spark.sql("select cast(null as string) as fold")
+    return d.a_station.select(F.col("station_id").alias("fold")).unionByName(nobody)
+
+
 @check("pca")
 def _(d: Inputs) -> DataFrame:
     wide = d.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
@@ -48,8 +61,70 @@ def _(d: Inputs) -> DataFrame:
 
 @check("k_sweep")
 def _(d: Inputs) -> DataFrame:
-    folds = [None, *(r.station_id for r in d.a_station.orderBy("station_id").collect())]
-    return models.k_sweep(_panel(d), ks=range(2, len(folds) - 1), folds=folds)
+    return models.k_sweep(_panel(d), ks=range(2, 11), folds=_folds(d))
+
+
+@check(
+    "k_sweep_one",
+    "with lab as (select station_id, ts, coalesce(value, median(value) over (partition by "
+    "station_id order by epoch(ts)::bigint range between 10800 preceding and current row)) as "
+    "label from a_obs_day), slots as (select station_id, ts, coalesce(avg(label), 0) as x from lab "
+    "group by 1, 2), kept as (select * from slots where ts in (select ts from slots group by ts "
+    "having count(*) = (select count(distinct station_id) from slots))), folds as (select "
+    "station_id as fold from a_station union all select null), m as (select fold, ts, avg(x) as m, "
+    "stddev_samp(x) as sd, min(x) as lo, max(x) as hi from folds join kept on fold is null or "
+    "station_id <> fold group by 1, 2) select m.fold, cast(1 as integer) as k, round(sum(case when "
+    "lo < hi then pow((x - m) / sd, 2) else 0 end), 4) as cost from m join kept k on k.ts = m.ts "
+    "and (fold is null or station_id <> fold) group by 1",
+)
+def _(d: Inputs) -> DataFrame:
+    """With one cluster the error is the sum of squares of the scaled series."""
+    return rounded(models.k_sweep(_panel(d), [1], _folds(d)), "cost", places=4)
+
+
+_STUMP = (
+    "with names as (select feature, row_number() over (order by feature) - 1 as j from (select "
+    "distinct geo_feature || '_' || feature_type || '_' || buffer_size as feature from a_eav) q), "
+    "cells as (select s.station_id as id, n.j, coalesce(v.value, 0) as x, "
+    "cast(substr(s.station_id, 2) as integer) % 3 as y from a_station s cross join names n left join "
+    "(select id, geo_feature || '_' || feature_type || '_' || buffer_size as feature, value from "
+    "a_eav) v on v.id = s.station_id and v.feature = n.feature), "
+    "rows as (select f.station_id as fold, c.* from a_station f join cells c on c.id <> f.station_id), "
+    "cuts as (select distinct j, x as t from cells), "
+    "sides as (select fold, r.j, t, r.x <= t as low, y, count(*) as c from rows r join cuts u "
+    "on u.j = r.j group by 1, 2, 3, 4, 5), "
+    "pure as (select fold, j, t, low, sum(c) as n, sum(c * c) / sum(c) as p from sides group by "
+    "1, 2, 3, 4), "
+    "base as (select fold, sum(c * c) / sum(c) as p from (select fold, y, count(*) as c from rows "
+    "where j = 0 group by 1, 2) q group by 1), "
+    "gains as (select s.fold, j, t, round(sum(s.p) - any_value(b.p), 6) as gain from pure s join "
+    "base b on b.fold = s.fold group by 1, 2, 3), "
+    "best as (select *, row_number() over (partition by fold order by gain desc, j, t) as rank "
+    "from gains where gain > 0) "
+    "select fold, cast(j as integer) as feature, t as threshold, gain from best where rank = 1"
+)
+
+
+@check("importance_stumps", _STUMP)
+def _(d: Inputs) -> DataFrame:
+    """One split over all features and rows: the largest drop of the Gini impurity."""
+    vectors, _ = _vectors(d)
+    stations = d.a_station.select("station_id")
+    label = F.col("id").substr(2, 9).cast("int") % 3
+    labels = stations.select(F.col("station_id").alias("fold")).join(
+        stations.select(F.col("station_id").alias("id")), F.col("fold") != F.col("id")
+    ).withColumn("cluster", label)
+    splits = fold_importance.forest_splits(
+        vectors, labels, n_trees=1, max_depth=1, bagging=False, every_feature=True
+    )
+    return rounded(splits.select("fold", "feature", "threshold", "gain"), "gain")
+
+
+@check("importance_folds")
+def _(d: Inputs) -> DataFrame:
+    vectors, names = _vectors(d)
+    clusters = fold_clusters.cluster_folds(_panel(d), _folds(d).withColumn("k", F.lit(4)))
+    return fold_importance.importance_folds(vectors, clusters, names, n_trees=20)
 
 
 @check("importance")

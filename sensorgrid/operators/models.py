@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sensorgrid.functions import unix_seconds
 from sensorgrid.operators import forest
+from sensorgrid.operators.fold_clusters import k_sweep  # noqa: F401
 from sensorgrid.operators.features import as_scaled_vector, importance_rows
 from sensorgrid.operators.panel import as_vector
 from sensorgrid.operators.spread import spread
@@ -74,35 +72,6 @@ def cluster(
     return model.transform(scaled).drop("scaled"), float(model.summary.trainingCost)
 
 
-def k_sweep(
-    series: DataFrame,
-    ks: Sequence[int],
-    folds: Sequence[str | None] = (None,),
-    id_col: str = "station_id",
-    seed: int = 1,
-    max_iter: int = 100,
-    parallelism: int = 4,
-) -> DataFrame:
-    """(fold, k, cost): k-means cost for every k with each station of `folds` left out.
-
-    Fold None leaves out nobody. The fits are separate Spark jobs, a few at a time.
-    """
-    kept = series.persist()
-
-    def one(task: tuple[str | None, int]) -> tuple[str | None, int, float]:
-        fold, k = task
-        rows = kept if fold is None else kept.where(F.col(id_col) != fold)
-        return fold, k, cluster(rows, k, seed, max_iter, id_col=id_col)[1]
-
-    try:
-        tasks = [(fold, k) for fold in folds for k in ks]
-        with ThreadPoolExecutor(parallelism) as pool:
-            costs = list(pool.map(one, tasks))
-    finally:
-        kept.unpersist()
-    return series.sparkSession.createDataFrame(costs, "fold string, k int, cost double")
-
-
 def importance(
     vectors: DataFrame,
     clusters: DataFrame,

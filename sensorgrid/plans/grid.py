@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +18,9 @@ from sensorgrid.operators.channels import (
     with_directory,
 )
 from sensorgrid.operators.features import feature_names, keyed, select_features, to_vector
+from sensorgrid.operators.fold_clusters import cluster_folds
+from sensorgrid.operators.fold_importance import importance_folds, select_by_fold
+from sensorgrid.operators.fold_tiles import cut
 from sensorgrid.operators.metrics import errors, join_truth, time_errors
 from sensorgrid.operators.models import (
     FIT_PARTITIONS,
@@ -31,9 +32,7 @@ from sensorgrid.operators.models import (
 from sensorgrid.operators.panel import series, series_tolerant, support_gate
 from sensorgrid.operators.spread import spread
 from sensorgrid.operators.windows import fill_gaps
-from sensorgrid.session import shared_dir
 
-_FOLDS_PER_PAGE = 256
 _FOLDS_PER_TASK = 16
 
 
@@ -75,6 +74,25 @@ def choose_features(
     return feature_names(chosen)
 
 
+def fold_features(
+    panel: DataFrame, vectors: DataFrame, names: DataFrame, folds: DataFrame, settings: Settings
+) -> DataFrame:
+    """(fold, index, feature) that `choose_features` would name with each station left out.
+
+    `folds` is (fold, k). The clusters of all folds are one k-means, the forests of all
+    folds grow together; the number of jobs does not follow the folds. Fits.
+    """
+    clusters = cluster_folds(panel, folds, settings.seed)
+    rows = importance_folds(
+        vectors, clusters, names, n_trees=settings.importance_trees,
+        max_depth=settings.importance_depth, seed=settings.seed,
+    )
+    chosen = select_by_fold(
+        rows, settings.rule, settings.frac, settings.min_keep, settings.factor
+    )
+    return chosen.select("fold", "index", "feature")
+
+
 def predict_grid(
     obs: DataFrame,
     features: DataFrame,
@@ -208,12 +226,11 @@ def cross_validate(
     when: tuple | None = None,
     k_by_station: Mapping[str, int] | DataFrame | None = None,
     min_support: int = 10,
-    parallelism: int = 4,
     settings: Settings = Settings(),
 ) -> tuple[DataFrame, DataFrame]:
     """(predictions with truth, errors per station), every station held out once.
 
-    Clusters and features are chosen per fold by Spark ML jobs, a few folds at a time.
+    Clusters and features of all folds are chosen in the same jobs, see `fold_features`.
     The per-timestamp fits of all folds then run in one pass over the readings: a
     timestamp holds one row per station, and a task fits a block of folds, each on the
     rows of the other stations with that fold's features. `k_by_station`, a mapping or a
@@ -226,32 +243,31 @@ def cross_validate(
     vectors = to_vector(keyed(features), stations, names).persist()
     panel = series(cleaned).persist()
     try:
-        def fold_features(fold: str, k: int | None) -> tuple[str, list[int]]:
-            chosen = choose_features(
-                panel.where(F.col("station_id") != fold),
-                vectors.where(F.col("id") != fold),
-                names, settings, k,
-            ).select("feature")
-            kept = names.join(chosen, "feature").orderBy("index").select("index").collect()
-            return fold, [r["index"] for r in kept]
-
-        # the chosen features of a page of folds are written before the next page starts
-        spark, folder = obs.sparkSession, shared_dir(obs.sparkSession, "fold-features")
-        schema, n_folds = "id string, mask array<int>", 0
-        if k_by_station is None or isinstance(k_by_station, Mapping):
-            pairs = list((k_by_station or {}).items())
-            k_by_station = spark.createDataFrame(pairs, "station_id string, k int")
-        tuned = k_by_station.select(F.col("station_id").alias("id"), "k")
-        found = stations.join(tuned, "id", "left").orderBy("id").toLocalIterator()
-        with ThreadPoolExecutor(parallelism) as pool:
-            while page := [(r.id, r.k) for r in itertools.islice(found, _FOLDS_PER_PAGE)]:
-                masks = list(pool.map(fold_features, *zip(*page, strict=True)))
-                spark.createDataFrame(masks, schema).write.mode("append").parquet(folder)
-                n_folds += len(page)
+        folds = stations.withColumn("k", F.lit(settings.k))
+        if k_by_station is not None:
+            if isinstance(k_by_station, Mapping):
+                k_by_station = obs.sparkSession.createDataFrame(
+                    list(k_by_station.items()), "station_id string, k int"
+                )
+            tuned = k_by_station.select(F.col("station_id").alias("id"), F.col("k").alias("own_k"))
+            folds = folds.join(tuned, "id", "left").select(
+                "id", F.coalesce("own_k", "k").alias("k")
+            )
+        chosen = fold_features(
+            panel, vectors, names, folds.select(F.col("id").alias("fold"), "k"), settings
+        )
+        listed = chosen.groupBy(F.col("fold").alias("id")).agg(
+            F.array_sort(F.collect_list("index")).alias("mask")
+        )
+        empty = F.array().cast("array<int>")
+        mask = cut(
+            stations.join(listed, "id", "left").select("id", F.coalesce("mask", empty).alias("mask")),
+            "fold-features",
+        )
     finally:
         panel.unpersist()
         vectors.unpersist()
-    mask = spark.read.schema(schema).parquet(folder) if n_folds else spark.createDataFrame([], schema)
+    n_folds = mask.count()
     tested = cleaned if when is None else cleaned.where(F.col("ts").between(*when))
     rows = training_rows(tested, vectors, keep_null_labels=True).join(mask, "id")
     blocks = max(1, -(-n_folds // _FOLDS_PER_TASK))
