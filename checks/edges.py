@@ -15,7 +15,13 @@ from checks.spatial import (
     _AREA_SQL, _COUNT_SQL, _LENGTH_SQL, CORNERS, _boxes, _grid, _lines, _pois,
 )
 from sensorgrid import shared_dir
-from sensorgrid.functions import register_sql_functions, time_of_file, wkt_paths, wkt_rings
+from sensorgrid.functions import (
+    register_sql_functions,
+    time_of_file,
+    wkt_paths,
+    wkt_point,
+    wkt_rings,
+)
 from sensorgrid.operators import ingest, panel, rollup, spatial, windows
 from sensorgrid.sinks import Sink, write_csv, write_grid_text, write_result, written_times
 from sensorgrid.sources import layer_catalog, layer_tables, open_layers, parse_station_csv
@@ -189,6 +195,55 @@ def _(d: Inputs) -> DataFrame:
     )
 
 
+def _wkt_layers(d: Inputs) -> dict[str, DataFrame]:
+    """Layers as WKT text: points, lines, boxes, and one that holds points and lines."""
+    def pair(x: str, y: str):
+        return F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
+
+    def ring(*corners):
+        return F.concat(F.lit("(("), F.concat_ws(", ", *[pair(*c) for c in corners]), F.lit("))"))
+
+    pois = d.a_poi.select("fclass", wkt_point(F.col("lon"), F.col("lat")).alias("geometry"))
+    line = F.concat(F.lit("LINESTRING("), pair("x0", "y0"), F.lit(", "), pair("x1", "y1"), F.lit(")"))
+    roads = d.a_line.select("fclass", line.alias("geometry"))
+    box = ring(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))
+    land = d.a_box.select("fclass", F.concat(F.lit("POLYGON"), box).alias("geometry"))
+    return {"pois": pois, "roads": roads, "land": land, "mixed": pois.unionByName(roads)}
+
+
+@check(
+    "layer_kinds",
+    "select 'pois' as layer, 'points' as kind, count(*) as n from a_poi union all select 'roads', "
+    "'paths', count(*) from a_line union all select 'land', 'polygons', count(*) from a_box union "
+    "all select 'mixed', 'points', count(*) from a_poi union all select 'mixed', 'paths', count(*) "
+    "from a_line",
+)
+def _(d: Inputs) -> DataFrame:
+    return spatial.layer_kinds(_wkt_layers(d))
+
+
+@check(
+    "geo_features_from_data",
+    "with p as (select 'count' as measurement, count(distinct feature_type) as classes, "
+    f"round(sum(value), 3) as total from ({_COUNT_SQL.format(box='')}) p), l as (select 'length' as "
+    "measurement, count(distinct feature_type) as classes, round(sum(value) / 1e6, 3) as total "
+    f"from ({_LENGTH_SQL}) l), a as (select 'area' as measurement, count(distinct feature_type) as "
+    f"classes, round(sum(value) / 1e9, 3) as total from ({_AREA_SQL}) a) "
+    "select 'pois' as geo_feature, * from p union all select 'roads', * from l union all "
+    "select 'land', * from a union all select 'mixed', * from p union all select 'mixed', * from l",
+)
+def _(d: Inputs) -> DataFrame:
+    """Kinds come from the shapes; the mixed layer gives counts and lengths."""
+    built = spatial.geo_features_of(_grid(d), _wkt_layers(d))
+    unit = F.when(F.col("measurement") == "length", 1e6).when(
+        F.col("measurement") == "area", 1e9
+    ).otherwise(1.0)
+    return built.groupBy("geo_feature", "measurement").agg(
+        F.countDistinct("feature_type").alias("classes"),
+        F.round(F.sum(F.col("value") / unit), 3).alias("total"),
+    )
+
+
 # ---------------------------------------------------------------- sinks and layers
 
 

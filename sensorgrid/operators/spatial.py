@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorgrid.functions import EARTH_RADIUS_M, haversine
+from sensorgrid.functions.geo import wkt_lat, wkt_lon, wkt_paths, wkt_rings
 from sensorgrid.operators.cells import CellGrid
 from sensorgrid.operators.spread import spread
 
@@ -335,6 +337,73 @@ def geo_features(
     return built
 
 
+#: what the words that WKT shapes begin with become
+_KIND_OF = {"POINT": "points", "LINESTRING": "paths", "MULTILINESTRING": "paths",
+            "POLYGON": "polygons", "MULTIPOLYGON": "polygons"}
+
+
+def shape_kind(text: Column) -> Column:
+    """Kind of a WKT shape: points, paths or polygons; null when it is none of them."""
+    word = F.upper(F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1))
+    kinds = F.create_map(*[F.lit(v) for pair in _KIND_OF.items() for v in pair])
+    return F.try_element_at(kinds, word)
+
+
+def layer_kinds(layers: Mapping[str, DataFrame], shape: str = "geometry") -> DataFrame:
+    """(layer, kind, n): how many shapes of each kind every layer holds, in one job.
+
+    `layers` have a WKT column `shape`; what is no known shape counts under kind null. The
+    summary has a row per layer and kind, whatever the layers hold.
+    """
+    if not layers:
+        raise ValueError("no layers given")
+    kinds = [
+        rows.select(F.lit(name).alias("layer"), shape_kind(F.col(shape)).alias("kind"))
+        for name, rows in layers.items()
+    ]
+    return reduce(DataFrame.unionByName, kinds).groupBy("layer", "kind").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def geo_features_of(
+    locations: DataFrame,
+    layers: Mapping[str, DataFrame],
+    shape: str = "geometry",
+    corners: Sequence[Sequence[float]] | None = None,
+    step: int = 100,
+    max_radius: int = 3000,
+) -> DataFrame:
+    """`geo_features` of layers (fclass, WKT column `shape`) whose kinds the data tells.
+
+    A layer of several kinds gives the features of each; `measurement` tells them apart.
+    Lines of a multi-line are separate paths. Rows whose shape is none are left out; with
+    no shape at all there are no rows. Counts kinds first, the rest is lazy.
+    """
+    met = layer_kinds(layers, shape).where(F.col("kind").isNotNull()).collect()
+    built = []
+    for kind in sorted({r["kind"] for r in met}):
+        named = {r["layer"]: (kind, _shapes(layers[r["layer"]], kind, shape))
+                 for r in sorted(met) if r["kind"] == kind}
+        built.append(geo_features(locations, named, corners, step, max_radius))
+    if built:
+        return reduce(DataFrame.unionByName, built)
+    schema = ("id string, geo_feature string, feature_type string, buffer_size int, "
+              "value double, measurement string")
+    return locations.sparkSession.createDataFrame([], schema)
+
+
+def _shapes(layer: DataFrame, kind: str, shape: str) -> DataFrame:
+    """(fclass, shape columns) of the rows of one kind."""
+    text = F.col(shape)
+    rows = layer.where(shape_kind(text) == kind)
+    if kind == "points":
+        return rows.select("fclass", wkt_lon(text).alias("lon"), wkt_lat(text).alias("lat"))
+    if kind == "paths":
+        return rows.select("fclass", F.explode(wkt_paths(text)).alias("path"))
+    return rows.select("fclass", wkt_rings(text).alias("rings"))
+
+
 def _ring_holding(distance: Column, step: int) -> Column:
     """Number, from 1, of the first ring that reaches `distance`."""
     return F.greatest(F.ceil(distance / step), F.lit(1)).cast("int")

@@ -224,3 +224,24 @@ def test_geo_features_unions_layers(spark):
     assert {(r.geo_feature, r.measurement, round(r.value)) for r in got.collect()} == {
         ("shops", "count", 1), ("roads", "length", 50), ("parks", "area", 2500)
     }
+
+
+def test_kinds_come_from_the_shapes(spark):
+    def layer(*texts):
+        return spark.createDataFrame([("c", t) for t in texts], "fclass string, geometry string")
+
+    layers = {
+        "mixed": layer("POINT(0.0001 0)", " point (0.0002 0)", "LINESTRING(0 0, 0.0005 0)"),
+        "odd": layer(None, "", "CIRCLE(1 2)", "MULTIPOLYGON(((0 0, 0.0001 0, 0.0001 0.0001, 0 0)))"),
+        "none": layer(),
+    }
+    kinds = {(r.layer, r.kind): r.n for r in spatial.layer_kinds(layers).collect()}
+    assert kinds == {("mixed", "points"): 2, ("mixed", "paths"): 1, ("odd", None): 3,
+                     ("odd", "polygons"): 1}
+    found = spatial.geo_features_of(location(spark), layers, max_radius=100).collect()
+    assert {(r.geo_feature, r.measurement) for r in found} == {
+        ("mixed", "count"), ("mixed", "length"), ("odd", "area")
+    }
+    assert spatial.geo_features_of(location(spark), {"none": layers["none"]}).count() == 0
+    with pytest.raises(ValueError):
+        spatial.layer_kinds({})
