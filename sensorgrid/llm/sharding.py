@@ -2,11 +2,16 @@
 
 A document's key is its text, so equal texts meet the ring at one point and share a shard
 as long as it has room. The ring has 2 ** 16 points. Each shard owns `vnodes` of them; the
-keys up to such a point belong to its shard. No shard takes more than (1 + slack) times the
-mean: keys that overflow a full shard continue clockwise to the next shard with room. The
-walk needs only the bytes per ring point (at most 65,536 sums, whatever the input). Points
-at which a shard fills are cut by a second hash of the rows, so a point that holds a third
-of all rows is dealt over several shards too.
+keys up to such a point belong to its shard.
+
+What is dealt are items, larger ones first: each goes whole to its own shard or, where that
+lacks room, to the next one clockwise that has it, so no shard passes (1 + slack) times the
+mean. An item is a ring point or, where a point holds more than `slack` of a shard, one of
+its parts by a second hash of the rows. An item of at most that size always finds room, as
+the room left over all shards is at least `slack` of the whole. A larger one is a part with
+a document of that size in it; it comes early, and goes to the emptiest shard if all are
+short. The walk needs the bytes of at most 65,536 points and of at most
+(4 + 1) * shards / slack parts, whatever the input.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from pyspark.sql import functions as F
 from sensorgrid.llm.common import cut, numbered, part_of, place_of, text_of
 
 _POINT_BITS = 16
-_PIECES = 4096
+#: a point that is cut has this many parts per `slack` of a shard
+_PARTS = 4
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,22 +43,25 @@ def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p for p, _ in nodes]), np.array([s for _, s in nodes])
 
 
-def walk(sizes: np.ndarray, shards: int, vnodes: int, slack: float) -> list[tuple]:
-    """(point, first byte of it, end byte, shard) for every part of every ring point."""
+def walk(point: np.ndarray, size: np.ndarray, shards: int, vnodes: int, slack: float) -> np.ndarray:
+    """Shard of every item, given its ring point and its bytes. Ties go by place in the arrays."""
     points, owner = ring(shards, vnodes)
-    room = np.full(shards, int(np.ceil(sizes.sum() * (1 + slack) / shards)), dtype=np.int64)
-    parts = []
-    for point in np.flatnonzero(sizes):
-        node, done, size = int(np.searchsorted(points, point)) % len(points), 0, int(sizes[point])
-        while done < size:
-            shard = owner[node]
-            take = min(size - done, int(room[shard]))
-            if take:
-                parts.append((int(point), done, done + take, int(shard)))
-                room[shard] -= take
-                done += take
-            node = (node + 1) % len(points)
-    return parts
+    # shards in the order in which a walk from each node first meets them
+    clockwise = np.array([
+        owner[np.roll(np.arange(len(owner)), -node)][
+            np.sort(np.unique(np.roll(owner, -node), return_index=True)[1])]
+        for node in range(len(owner))
+    ])
+    node = np.searchsorted(points, point) % len(points)
+    room = np.full(shards, int(np.ceil(size.sum() * (1 + slack) / shards)), dtype=np.int64)
+    out = np.empty(len(point), dtype=np.int64)
+    for item in np.argsort(-size, kind="stable"):
+        order = clockwise[node[item]]
+        fits = room[order] >= size[item]
+        shard = order[np.argmax(fits if fits.any() else room[order])]
+        room[shard] -= size[item]
+        out[item] = shard
+    return out
 
 
 def assign_shards(
@@ -76,41 +85,38 @@ def assign_shards(
         F.crc32(F.encode(text_of(text), "UTF-8")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text_of(text)), 64 - _POINT_BITS).cast("int").alias("point"),
     )
-    rows = cut(numbered(rows, "row_no"), "shard-rows").withColumn(
-        "piece", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(_PIECES)).cast("int")
-    )
-    held = rows.groupBy("point").agg(F.sum("size").alias("held")).toPandas()
-    sizes = np.zeros(1 << _POINT_BITS, dtype=np.int64)
-    sizes[held["point"].to_numpy(dtype=np.int64)] = held["held"].to_numpy(dtype=np.int64)
-    parts = pd.DataFrame(
-        walk(sizes, shards, vnodes, slack), columns=["point", "first", "end", "shard"]
+    rows = cut(numbered(rows, "row_no"), "shard-rows")
+    held = rows.groupBy("point").agg(F.sum("size").alias("held")).toPandas().sort_values("point")
+    unit = max(1.0, float(held["held"].sum()) * slack / shards)
+    held["parts"] = np.where(
+        held["held"] > unit, np.ceil(held["held"].astype(float) * _PARTS / unit), 1
+    ).astype(np.int64)
+    cut_points = held[held["parts"] > 1]
+    parts_of = spark.createDataFrame(
+        cut_points[["point", "parts"]].astype("int32"), "point int, parts int"
     )
-    times = parts.groupby("point")["shard"].transform("size")
-    whole = parts[times == 1][["point", "shard"]]
-    broken = parts[times > 1]
 
-    # at most `shards` points are cut, into _PIECES each: both tables have a fixed bound
+    # tables of items have the bounds stated above, so they are broadcast
+    rows = rows.join(F.broadcast(parts_of), "point", "left").withColumn(
+        "piece", F.coalesce(F.pmod(F.xxhash64("doc_id", "row_no"), F.col("parts")), F.lit(-1))
+    )
     inside = (
-        rows.where(F.col("point").isin([int(p) for p in broken["point"].unique()] or [-1]))
-        .groupBy("point", "piece").agg(F.sum("size").alias("held")).toPandas()
-        .sort_values(["point", "piece"])
+        rows.where("parts is not null").groupBy("point", "piece")
+        .agg(F.sum("size").alias("held")).toPandas().sort_values(["point", "piece"])
     )
-    middle = inside.groupby("point")["held"].cumsum() - inside["held"] / 2
-    inside["shard"] = -1
-    for part in broken.itertuples():
-        hit = (inside["point"] == part.point) & (middle >= part.first) & (middle < part.end)
-        inside.loc[hit, "shard"] = part.shard
-    whole_df = spark.createDataFrame(whole.astype("int32"), "point int, shard int")
-    inside_df = spark.createDataFrame(
-        inside[["point", "piece", "shard"]].astype("int32"), "point int, piece int, cut_shard int"
+    items = pd.concat([
+        held[held["parts"] == 1][["point", "held"]].assign(piece=-1),
+        inside[["point", "held", "piece"]],
+    ], ignore_index=True).astype(np.int64)
+    items["shard"] = walk(
+        items["point"].to_numpy(), items["held"].to_numpy(), shards, vnodes, slack
     )
-    placed = (
-        rows.join(F.broadcast(whole_df), "point", "left")
-        .join(F.broadcast(inside_df), ["point", "piece"], "left")
-        .select(
-            "doc_id", "size", "text_crc32", F.coalesce("cut_shard", "shard").alias("shard"),
-            part_of("row_no").alias("part"), place_of("row_no").alias("place"),
-        )
+    shard_of = spark.createDataFrame(
+        items[["point", "piece", "shard"]], "point long, piece long, shard long"
+    ).select(F.col("point").cast("int"), "piece", F.col("shard").cast("int"))
+    placed = rows.join(F.broadcast(shard_of), ["point", "piece"]).select(
+        "doc_id", "size", "text_crc32", "shard",
+        part_of("row_no").alias("part"), place_of("row_no").alias("place"),
     )
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(
