@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_DEFAULTS = {
+SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -29,7 +29,7 @@ def get_session(app: str = "sensorgrid", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, val in _DEFAULTS.items():
+    for key, val in SETTINGS.items():
         builder = builder.config(key, val)
     for key, val in conf.items():
         builder = builder.config(key.replace("__", "."), val)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sensorgrid.operators.ingest import latest_by, newer_than
 from sensorgrid.operators.rollup import near_full_hour
+from sensorgrid.streaming.sensor_state import newer_than_state
 
 
 def stream_drop_late(
@@ -22,36 +22,21 @@ def stream_drop_late(
     key: str = "id",
     ts_col: str = "ts",
     trigger: dict | None = None,
+    idle_hours: float | None = None,
 ) -> StreamingQuery:
     """Append each micro-batch's rows newer than the newest known row of their sensor.
 
-    Accepted rows go to `path`/rows/batch=<n>. `path`/latest/batch=<n> holds the newest
-    time per sensor after batch n, so a batch reads that small table and not the history.
-    Both folders are written whole per batch: a batch repeated after a failure gives
-    the same files. `stored` seeds the newest times before the first batch.
+    Accepted rows go to `path`/rows, each once. The newest times are state per sensor (see
+    `newer_than_state`), seeded by `stored`: a batch touches those of its own sensors.
+    With `idle_hours` the query needs a trigger that keeps running, as its timers follow the
+    clock; without `trigger` it then looks every minute.
     """
-    spark = readings.sparkSession
-    times = f"{key} {readings.schema[key].dataType.simpleString()}, max_ts timestamp"
-    seed = spark.createDataFrame([], times) if stored is None else latest_by(stored, key, ts_col)
-
-    def accept(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        known = seed
-        if number > 0:
-            known = session.read.schema(times).parquet(f"{path}/latest/batch={number - 1}")
-        rows = f"{path}/rows/batch={number}"
-        newer_than(batch, known, key, ts_col).write.mode("overwrite").parquet(rows)
-        added = latest_by(session.read.schema(batch.schema).parquet(rows), key, ts_col)
-        latest_by(known.unionByName(added), key, "max_ts").write.mode("overwrite").parquet(
-            f"{path}/latest/batch={number}"
-        )
-
-    return (
-        readings.writeStream.foreachBatch(accept)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    if idle_hours is not None:
+        trigger = trigger or {"processingTime": "1 minute"}
+        if "processingTime" not in trigger:
+            raise ValueError("idle_hours needs a processingTime trigger")
+    passed = newer_than_state(readings, stored, key, ts_col, idle_hours)
+    return write_stream(passed, f"{path}/rows", checkpoint, trigger)
 
 
 def hourly_median_stream(
