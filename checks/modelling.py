@@ -203,6 +203,33 @@ def _(d: Inputs) -> DataFrame:
     return rounded(found, "prediction")
 
 
+@check(
+    "predict_gbt_stump",
+    "with g as (select o.ts, s.lat as x, count(*) as n, sum(o.value) as y from a_obs_day o "
+    "join a_station s using (station_id) where o.value is not null group by 1, 2), "
+    "c as (select ts, x, lead(x) over (partition by ts order by x) as up, "
+    "sum(n) over (partition by ts order by x rows unbounded preceding) as n, "
+    "sum(y) over (partition by ts order by x rows unbounded preceding) as y, "
+    "sum(n) over (partition by ts) as all_n, sum(y) over (partition by ts) as all_y from g), "
+    "e as (select *, case when up is not null then y * y / n + "
+    "(all_y - y) * (all_y - y) / (all_n - n) - all_y * all_y / all_n end as gain from c), "
+    "b as (select *, row_number() over (partition by ts order by gain desc nulls last, x) as nth "
+    "from e) "
+    "select cast(g.gid as varchar) as id, b.ts, round(case when b.gain is null or b.gain <= 1e-12 "
+    "then b.all_y / b.all_n when g.lat <= (b.x + b.up) / 2 then b.y / b.n "
+    "else (b.all_y - b.y) / (b.all_n - b.n) end, 6) as prediction "
+    "from a_grid g, b where b.nth = 1",
+)
+def _(d: Inputs) -> DataFrame:
+    """One tree of one split on the latitude."""
+    context = d.a_station.select(F.col("station_id").alias("id"), F.array("lat").alias("features"))
+    targets = d.a_grid.select(F.col("gid").cast("string").alias("id"), F.array("lat").alias("features"))
+    found = models.predict(
+        d.a_obs_day, context, targets, "gbt", n_trees=1, max_depth=1, label_col="value"
+    )
+    return rounded(found, "prediction")
+
+
 @check(
     "predict_grid_mean",
     _LABELLED.format(obs="a_obs_day") + "select cast(g.gid as varchar) as gid, t.ts, g.lon, g.lat, "
