@@ -73,13 +73,7 @@ def series_tolerant(
     """
     slots = one_row_per_slot(obs, id_col, ts_col, label_col)
     base_times = (obs if base is None else base).select(ts_col).distinct()
-    n_base = base_times.agg(F.count(ts_col))
-    stations = (
-        slots.groupBy(id_col)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= n_base.scalar() - tolerance)
-        .select(id_col)
-    )
+    stations = tolerant_stations(obs, base, tolerance, id_col, ts_col)
     kept = slots.join(stations, id_col, "left_semi")
     n_kept = stations.agg(F.count(id_col))
     shared = (
@@ -92,6 +86,21 @@ def series_tolerant(
     return _collect_series(kept.join(shared, ts_col, "left_semi"), id_col, ts_col, label_col)
 
 
+def tolerant_stations(
+    obs: DataFrame, base: DataFrame | None = None, tolerance: int = 31,
+    id_col: str = "station_id", ts_col: str = "ts",
+) -> DataFrame:
+    """(id) of the stations that stay in `series_tolerant`, whether they share a time or not."""
+    n_base = (obs if base is None else base).select(ts_col).distinct().agg(F.count(ts_col))
+    slots = obs.where(F.col(id_col).isNotNull()).select(id_col, ts_col).distinct()
+    return (
+        slots.groupBy(id_col)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") >= n_base.scalar() - tolerance)
+        .select(id_col)
+    )
+
+
 def as_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Turn an array<double> column into an ML vector column."""
     return df.withColumn(out or col, array_to_vector(F.col(col)))

@@ -29,7 +29,12 @@ from sensorgrid.operators.models import (
     predict,
     training_rows,
 )
-from sensorgrid.operators.panel import series, series_tolerant, support_gate
+from sensorgrid.operators.panel import (
+    series,
+    series_tolerant,
+    support_gate,
+    tolerant_stations,
+)
 from sensorgrid.operators.spread import spread
 from sensorgrid.operators.windows import fill_gaps
 
@@ -148,7 +153,10 @@ def predict_grid_network(
         )
         cleaned = network.unionByName(extra)
     stations_series = series_tolerant(cleaned, network, tolerance)
-    stations = stations_series.select(F.col("station_id").alias("id"))
+    # they train the models even where no time is shared by all of them
+    stations = tolerant_stations(cleaned, network, tolerance).select(
+        F.col("station_id").alias("id")
+    )
     chosen = _chosen(stations_series, features, stations, settings)
     context = to_vector(keyed(features), stations, chosen)
     targets = to_vector(keyed(grid_features), grid.select(F.col("gid").alias("id")), chosen)
@@ -311,12 +319,16 @@ def _held_out_predictions(
 def _chosen(
     panel: DataFrame, features: DataFrame, stations: DataFrame, settings: Settings
 ) -> DataFrame:
+    """(feature, index) of the chosen features. Without series nothing tells features apart,
+    so none is chosen and the models fall back to the mean of a time."""
     names = feature_names(keyed(features))
     kept = panel.persist()
     vectors = to_vector(keyed(features), stations, names).persist()
     try:
-        chosen = choose_features(kept, vectors, names, settings)
-        listed = [(r["feature"], r["index"]) for r in chosen.collect()]
+        listed = []
+        if not kept.isEmpty():
+            chosen = choose_features(kept, vectors, names, settings)
+            listed = [(r["feature"], r["index"]) for r in chosen.collect()]
     finally:
         kept.unpersist()
         vectors.unpersist()
