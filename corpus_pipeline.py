@@ -27,9 +27,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id."""
+    """Of each group of near copies, by fingerprint or similarity, the row with the smallest doc_id."""
     _ready(spark)
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, radius=simhash.RADIUS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

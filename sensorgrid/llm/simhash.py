@@ -284,16 +284,20 @@ def find_near_copies(
     )
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int | None = None
+) -> DataFrame:
     """The row of the smallest id of each group, with all its columns.
 
     Rows are linked from a Jaccard similarity of 0.8 of their five-word shingles (see
-    `minhash`), whatever their fingerprints. A null id counts as the largest; of several rows
+    `minhash`), whatever their fingerprints; with `radius` also where their fingerprints
+    differ in that many bits or fewer. A null id counts as the largest; of several rows
     with that id the first in the table stays. A scan of files is read again, not written.
     """
     rows = located(docs)
     narrow = rows.select(*PLACE, F.col(f"row.{id_col}").alias("id"), text_of(f"row.{text}").alias("whole"))
-    keyed = cut(numbered(minhash.with_bands(narrow, "whole"), "row_no"), "near-rows")
+    printed = narrow if radius is None else with_fingerprints(narrow, F.col("whole"))
+    keyed = cut(numbered(minhash.with_bands(printed, "whole"), "row_no"), "near-rows")
     crowd = cut(minhash.crowds(keyed), "near-crowds")
     wanted = keyed.select("row_no", *PLACE).join(crowd.select("row_no").distinct(), "row_no")
     texts = cut(
@@ -303,11 +307,25 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     tried = cut(minhash.first_pairs(crowd), "near-pairs")
     roots = components(minhash.confirmed(tried, texts))
     links = minhash.tile_links(minhash.apart_tiles(crowd, roots), texts)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+    if radius is not None:
+        links = links.union(_fingerprint_rows(keyed, radius))
+    roots = components(links)
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no", *PLACE))
     stay = (
-        keyed.drop("bands").join(roots.withColumnRenamed("node", "row_no"), "row_no", "left")
+        keyed.drop("bands", "fp").join(roots.withColumnRenamed("node", "row_no"), "row_no", "left")
         .groupBy(F.coalesce("root", "row_no").alias("root")).agg(best.alias("best"))
         .select("best.file", "best.pos")
     )
     return rows.join(stay, PLACE, "left_semi").select("row.*")
+
+
+def _fingerprint_rows(keyed: DataFrame, radius: int) -> DataFrame:
+    """Links (a > b) of each row with the first row of its group of fingerprints."""
+    first = keyed.groupBy("fp").agg(F.min("row_no").alias("first"))
+    groups = fingerprint_groups(keyed, radius).join(first, "fp")
+    least = groups.groupBy("root").agg(F.min("first").alias("b"))
+    named = cut(groups.join(least, "root").select("fp", "b"), "near-fingerprints")
+    return keyed.select("fp", F.col("row_no").alias("a")).join(named, "fp").where("a > b").select(
+        "a", "b"
+    )
