@@ -83,9 +83,9 @@ def to_vector(
     """
     size = F.coalesce(names.agg(F.max("index")).scalar() + 1, F.lit(0)).cast("int")
     cells = (
-        features.groupBy("id", "feature")
+        features.join(names, "feature")
+        .groupBy("id", "feature", "index")
         .agg(F.avg("value").alias("value"))
-        .join(names, "feature")
         .groupBy("id")
         .agg(
             F.array_sort(

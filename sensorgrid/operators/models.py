@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sensorgrid.functions import unix_seconds
 from sensorgrid.operators import forest
@@ -23,6 +27,8 @@ _MODEL_FIELDS = (
 )
 #: partitions of the station rows that a model is fitted on; raise it for large networks
 FIT_PARTITIONS = 4
+#: times whose ensembles may share a chunk
+_CHUNK_TIMES = 64
 _MODEL_COLUMNS = ("feature", "threshold", "lower", "upper", "value", "root", "share")
 
 # Tuned number of clusters per held-out station, by parameter (hourly).
@@ -146,46 +152,59 @@ def predict_by_time(
     target_context: DataFrame,
     chunk_hours: float = 24,
     targets_per_block: int = 2000,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, ts, prediction): every ensemble applied to every target.
+    """(id, ts, prediction, *keep): every ensemble applied to every target.
 
     The output has times x targets rows whatever the plan. Ensembles are copied to
     the target blocks and targets to the time chunks, and each (chunk, block) is
-    one group of bounded size; neither side is broadcast or collected. `times` lists
-    the timestamps that `models` may hold.
+    one group of bounded size; neither side is broadcast or collected. A chunk spans
+    `chunk_hours` or, where it would hold few times, as many of these as hold up to
+    `_CHUNK_TIMES`. `times` lists the timestamps that `models` may hold, `keep` columns
+    of the targets that the rows carry on.
     """
     width = int(chunk_hours * 3600)
-    chunk = F.floor(unix_seconds(F.col("ts")) / F.lit(width)).cast("long")
-    chunks = times.select(chunk.alias("c")).distinct().agg(F.collect_set("c"))
+    span = F.floor(unix_seconds(F.col("ts")) / F.lit(width)).cast("long")
+    held = times.where(F.col("ts").isNotNull()).select("ts").distinct()
+    held = held.groupBy(span.alias("span")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(_CHUNK_TIMES))
+    spans = held.select("span", first.cast("long").alias("_chunk"))
+    chunks = spans.select("_chunk").distinct().agg(F.collect_set("_chunk"))
     n_targets = target_context.select("id").agg(F.count(F.lit(1)))
     last_block = F.floor(n_targets.scalar() / F.lit(targets_per_block)).cast("int")
-    placed = models.withColumn("_chunk", chunk).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), last_block))
+    placed = (
+        models.withColumn("span", span).join(spans, "span").drop("span")
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), last_block)))
     )
     targets = (
-        target_context.select("id", "features")
-        .withColumn("_block", F.pmod(F.hash("id"), last_block + 1))
+        target_context.select("id", "features", *keep)
+        .withColumn("_block", F.pmod(F.hash("id", *keep), last_block + 1))
         .withColumn("_chunk", F.explode(chunks.scalar()))
     )
+    kept = [target_context.schema[name] for name in keep]
+    schema = StructType(
+        [StructField("id", StringType()), models.schema["ts"], StructField("prediction", DoubleType()), *kept]
+    )
 
-    def one_block(fitted: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if fitted.empty or points.empty:
-            return pd.DataFrame(columns=["id", "ts", "prediction"])
-        x = np.array(points["features"].tolist(), dtype=float).reshape(len(points), -1)
-        predicted = [
-            forest.predict({c: getattr(row, c) for c in _MODEL_COLUMNS}, x)
-            for row in fitted.itertuples()
-        ]
-        return pd.DataFrame({
-            "id": np.tile(points["id"].to_numpy(object), len(fitted)),
-            "ts": np.repeat(fitted["ts"].to_numpy(), len(points)),
-            "prediction": np.concatenate(predicted),
+    def one_block(fitted: pa.Table, points: pa.Table) -> pa.Table:
+        n, k = points.num_rows, fitted.num_rows
+        flat = points.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.astype(float).reshape(n, -1) if n else np.empty((0, 0))
+        ensembles = fitted.select(_MODEL_COLUMNS).to_pylist()
+        predicted = [forest.predict(e, x) for e in ensembles] if n else []
+        of_point, of_time = np.tile(np.arange(n), k), np.repeat(np.arange(k), n)
+        return pa.table({
+            "id": points.column("id").take(of_point),
+            "ts": fitted.column("ts").take(of_time),
+            "prediction": np.concatenate([np.empty(0), *predicted]),
+            **{name: points.column(name).take(of_point) for name in keep},
         })
 
     return (
         spread(placed, "_chunk", "_block").groupBy("_chunk", "_block")
         .cogroup(spread(targets, "_chunk", "_block").groupBy("_chunk", "_block"))
-        .applyInPandas(one_block, "id string, ts timestamp, prediction double")
+        .applyInArrow(one_block, schema)
     )
 
 
@@ -202,16 +221,18 @@ def predict(
     label_col: str = "label",
     chunk_hours: float = 24,
     targets_per_block: int = 2000,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, ts, prediction) for every timestamp of `train` and every target.
+    """(id, ts, prediction, *keep) for every timestamp of `train` and every target.
 
     Each timestamp gets its own ensemble ('rf' or 'gbt'), fitted on that
-    timestamp's labels and the stations' context vectors.
+    timestamp's labels and the stations' context vectors. `keep` names columns of the
+    targets that the rows carry on.
     """
     rows = training_rows(train, context, id_col, ts_col, label_col)
     models = fit_by_time(rows, model, n_trees, max_depth, seed)
     times = train.select(F.col(ts_col).alias("ts"))
-    return predict_by_time(models, times, target_context, chunk_hours, targets_per_block)
+    return predict_by_time(models, times, target_context, chunk_hours, targets_per_block, keep)
 
 
 def predict_once(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -321,9 +321,10 @@ def _chosen(
 ) -> DataFrame:
     """(feature, index) of the chosen features. Without series nothing tells features apart,
     so none is chosen and the models fall back to the mean of a time."""
-    names = feature_names(keyed(features))
+    own = keyed(features).persist()
+    names = feature_names(own)
     kept = panel.persist()
-    vectors = to_vector(keyed(features), stations, names).persist()
+    vectors = to_vector(own, stations, names).persist()
     try:
         listed = []
         if not kept.isEmpty():
@@ -332,6 +333,7 @@ def _chosen(
     finally:
         kept.unpersist()
         vectors.unpersist()
+        own.unpersist()
     return features.sparkSession.createDataFrame(listed, "feature string, index int")
 
 
@@ -345,18 +347,19 @@ def _on_grid(
         frac=frac if min_support is None else None,
         stations=cleaned,
     )
-    predicted = _predict(gated, context, targets, settings)
-    named = predicted.withColumnRenamed("id", "gid")
-    points = grid.select(F.col("gid").cast("string").alias("gid"), "lon", "lat")
-    return named.join(points, "gid").select("gid", "ts", "prediction", "lon", "lat")
+    # the places go along with the targets: joined later, they would meet a row per time
+    points = grid.select(F.col("gid").cast("string").alias("id"), "lon", "lat")
+    predicted = _predict(gated, context, targets.join(points, "id"), settings, ("lon", "lat"))
+    return predicted.withColumnRenamed("id", "gid").select("gid", "ts", "prediction", "lon", "lat")
 
 
 def _predict(
-    train: DataFrame, context: DataFrame, targets: DataFrame, settings: Settings
+    train: DataFrame, context: DataFrame, targets: DataFrame, settings: Settings,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     return predict(
         train, context, targets, settings.model, settings.n_trees, settings.max_depth,
-        settings.seed,
+        settings.seed, keep=keep,
     )
 
 

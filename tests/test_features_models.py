@@ -298,3 +298,30 @@ def test_station_cluster_table(spark):
     rows = models.station_clusters(spark)
     counts = {r.parameter: r["count"] for r in rows.groupBy("parameter").count().collect()}
     assert counts == {"PM2.5": 14, "PM10": 8, "O3": 17}
+
+
+def test_targets_are_copied_per_many_times_and_carry_their_columns(spark, monkeypatch):
+    rows = [(s, at(86400 * d), float(d)) for d in range(30) for s in ("a", "b")]
+    train = spark.createDataFrame(rows, "station_id string, ts timestamp, label double")
+    context = spark.createDataFrame(
+        [("a", [1.0]), ("b", [2.0])], "id string, features array<double>"
+    )
+    places = [("g1", [1.0], 5.0, None), ("g1", [1.0], 6.0, "x"), ("g2", [2.0], 7.0, "y")]
+    targets = spark.createDataFrame(
+        places, "id string, features array<double>, lon double, name string"
+    )
+    dealt = []
+    run = models.spread
+
+    def counted(df, *cols):
+        dealt.append((set(df.columns), df))
+        return run(df, *cols)
+
+    monkeypatch.setattr(models, "spread", counted)
+    found = models.predict(train, context, targets, n_trees=2, max_depth=0, keep=("lon", "name"))
+    got = sorted((r.id, r.ts, r.prediction, r.lon, r.name or "") for r in found.collect())
+    assert got == sorted(
+        (i, at(86400 * d), float(d), lon, name or "") for d in range(30) for i, _, lon, name in places
+    )
+    (copied,) = [df for columns, df in dealt if {"lon", "_chunk"} <= columns]
+    assert copied.count() == len(places)
