@@ -9,6 +9,7 @@ finds the tightest window that is open and has room. Memory of a task: its open
 from __future__ import annotations
 
 import itertools
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorgrid.llm.common import text_of
+from sensorgrid.llm.common import give_back, text_of
 
 WINDOW = 4096
 END_ID = 2
@@ -89,6 +90,8 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        # a task is one core; threads of its own would each keep memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -192,6 +195,7 @@ def _pieces(path: str, window: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:  # a reused worker keeps its words
+            give_back()
             _workers[path] = WordTokens(path)
         tokens, task, row_no = _workers[path], TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -1,5 +1,10 @@
 """Ids of texts whose lowering before the tokenizer would change them."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -23,3 +28,21 @@ def test_ids_are_those_of_the_tokenizer(together):
         assert [x.tolist() for x in words.encode(TEXTS)] == want
     else:
         assert [next(iter(words.encode([t]))).tolist() for t in TEXTS] == want
+
+
+def test_tokenizer_starts_no_threads():
+    """Threads of its own, one per core of the machine, would each keep memory in a task."""
+    code = (
+        "import os, public_tokenizers\n"
+        "from sensorgrid.llm.packing import WordTokens\n"
+        "before = len(os.listdir('/proc/self/task'))\n"
+        "words = WordTokens(public_tokenizers.path('word_bpe_49k.json'))\n"
+        "list(words.encode([' '.join(f'w{i}' for i in range(5000))]))\n"
+        "print(len(os.listdir('/proc/self/task')) - before)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run(
+        [sys.executable, "-c", code], env=env, cwd=root, capture_output=True, text=True, check=True
+    )
+    assert done.stdout.split() == ["0"]
